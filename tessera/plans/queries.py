@@ -1,0 +1,385 @@
+"""One query per operator on the driver's tables, each with the same result in SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.functions import vector as V
+from tessera.operators import chunk as C
+from tessera.operators import search as S
+from tessera.operators import stats as A
+from tessera.operators import sync as Y
+from tessera.operators import tenants as N
+from tessera.plans import tables as T
+from tessera.streaming.ingest import event_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SLUG = "src3"
+
+
+def query(sql: str, derived: bool = True):
+    """Registers a query under its function's name, with its SQL over the derived (or only the plain) tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = (f"WITH {T.SQL}\n{sql}" if derived else sql).replace("$SLUG", SLUG)
+        return f
+
+    return add
+
+
+def _documents(s, d):
+    return T.table(s, d, "documents")
+
+
+# scans and lookups
+
+
+@query("SELECT * FROM files WHERE tenant_slug = '$SLUG'")
+def scan_files_by_tenant(s, d):
+    return N.TenantView(SLUG).of(T.files(s, d))
+
+
+@query("SELECT file_id, file_path, sync_status FROM files WHERE tenant_slug = '$SLUG' AND file_path = (SELECT min(file_path) FROM files WHERE tenant_slug = '$SLUG')")
+def file_point_lookup(s, d):
+    f = N.TenantView(SLUG).of(T.files(s, d))
+    first = f.agg(F.min("file_path").alias("file_path"))
+    return f.join(F.broadcast(first), "file_path").select("file_id", "file_path", "sync_status")  # one row by construction
+
+
+@query("SELECT file_id, chunk_index, token_count FROM chunks WHERE file_id = 7")
+def chunks_for_file(s, d):
+    return T.chunks(s, d).where("file_id = 7").select("file_id", "chunk_index", "token_count").orderBy("chunk_index")
+
+
+@query("SELECT doc_id, sha256(text) AS file_hash FROM documents", False)
+def file_hash(s, d):
+    return _documents(s, d).select("doc_id", X.sha256(F.col("text")).alias("file_hash"))
+
+
+@query("SELECT slug FROM tenants WHERE api_key = sha256('key-$SLUG')")
+def auth_lookup(s, d):
+    import hashlib
+
+    return N.by_key(T.tenants(s, d), hashlib.sha256(f"key-{SLUG}".encode()).hexdigest()).select("slug")
+
+
+@query("SELECT file_id, sync_status FROM files WHERE sync_status IN ('pending', 'failed')")
+def files_by_status_set(s, d):
+    return T.files(s, d).where(F.col("sync_status").isin("pending", "failed")).select("file_id", "sync_status")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2') AND n_chars BETWEEN 100 AND 2000", False)
+def metadata_filter(s, d):
+    return S.metadata_filter(_documents(s, d), {"lang": "en"}, {"source": ["src1", "src2"]}, {"n_chars": (100, 2000)}).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT file_id, file_path FROM files ORDER BY file_path, file_id LIMIT 20 OFFSET 20")
+def page_files(s, d):
+    return S.page(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"], 2, 20)
+
+
+@query("SELECT file_id, sync_status, file_size FROM files ORDER BY file_id DESC LIMIT 10")
+def recent_files(s, d):
+    return T.files(s, d).select("file_id", "sync_status", "file_size").orderBy(F.desc("file_id")).limit(10)
+
+
+# chunkers
+
+
+@query("SELECT file_id AS doc_id, chunk_index, token_count, sha256(content) AS chunk_hash FROM chunks")
+def chunk_simple(s, d):
+    return C.chunk_simple(_documents(s, d).select("doc_id", "text")).select("doc_id", "chunk_index", "token_count", "chunk_hash")
+
+
+_FIXED = """, fixed AS (SELECT doc_id, w, unnest(CASE WHEN len(w) > 512 THEN range(0, len(w) - {o}, {p}) ELSE [0] END) AS s FROM worded WHERE len(w) > 0),
+f2 AS (SELECT doc_id, CAST(s // {p} AS INTEGER) AS chunk_index, array_to_string(w[s + 1:s + 512], ' ') AS content, CAST(length(array_to_string(w[1:s], ' ')) AS BIGINT) AS start_char,
+CAST(least(len(w) - s, 512) AS BIGINT) AS token_count FROM fixed)
+SELECT doc_id, chunk_index, start_char, start_char + length(content) AS end_char, token_count, sha256(content) AS chunk_hash FROM f2"""
+
+
+def _fixed_columns(df):
+    return df.select("doc_id", "chunk_index", "start_char", "end_char", "token_count", X.sha256(F.col("content")).alias("chunk_hash"))
+
+
+@query(_FIXED.format(o=50, p=462))
+def chunk_fixed_offsets(s, d):
+    return _fixed_columns(C.chunk(_documents(s, d).select("doc_id", "text"), "fixed"))
+
+
+@query(_FIXED.format(o=100, p=412))
+def chunk_sliding(s, d):
+    return _fixed_columns(C.chunk(_documents(s, d).select("doc_id", "text"), "sliding_window"))
+
+
+@query(r""", parts AS (SELECT doc_id, string_split(text, '. ') AS p FROM bare WHERE t <> ''),
+sized AS (SELECT doc_id, p, list_transform(p, lambda x: CASE WHEN regexp_replace(x, '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(x, '^\s+|\s+$', '', 'g'), '\s+')) END) AS n FROM parts),
+walk AS (SELECT doc_id, p, n, 1 AS i, 0 AS chunk_index, n[1] AS total FROM sized
+  UNION ALL SELECT doc_id, p, n, i + 1, CASE WHEN total + n[i + 1] > 512 THEN chunk_index + 1 ELSE chunk_index END,
+  CASE WHEN total + n[i + 1] > 512 THEN n[i + 1] ELSE total + n[i + 1] END FROM walk WHERE i < len(p)),
+packed AS (SELECT doc_id, chunk_index, string_agg(p[i], '. ' ORDER BY i) || '.' AS content FROM walk GROUP BY doc_id, chunk_index)
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, sha256(content) AS chunk_hash FROM packed""")
+def chunk_semantic(s, d):
+    return C.chunk(_documents(s, d).select("doc_id", "text"), "semantic").select("doc_id", "chunk_index", X.sha256(F.col("content")).alias("chunk_hash"))
+
+
+ORACLES["chunk_semantic"] = ORACLES["chunk_semantic"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# change plans and updates
+
+
+@query("SELECT * FROM plan")
+def delta_plan(s, d):
+    return Y.plan(T.files(s, d), T.registry(s, d))
+
+
+@query("SELECT * REPLACE (CASE WHEN change = 'unchanged' THEN 'updated' ELSE change END AS change) FROM plan")
+def delta_plan_force(s, d):
+    return Y.plan(T.files(s, d), T.registry(s, d), force=True)
+
+
+@query("SELECT * REPLACE (CASE WHEN change = 'unchanged' AND old_status IN ('pending', 'processing', 'failed') THEN 'updated' ELSE change END AS change) FROM plan")
+def delta_plan_retry(s, d):
+    return Y.plan(T.files(s, d), T.registry(s, d), retry=True)
+
+
+@query("SELECT change, count(*) AS n_files, min(file_path) AS first_path, max(file_path) AS last_path FROM plan GROUP BY change")
+def plan_summary(s, d):
+    return Y.summary(delta_plan(s, d))
+
+
+@query("""SELECT r.tenant_slug, r.file_path, r.file_hash, r.file_size, r.sync_status FROM registry r JOIN plan p USING (tenant_slug, file_path) WHERE p.change = 'unchanged'
+UNION ALL SELECT tenant_slug, file_path, new_hash, new_size, 'processing' FROM plan WHERE change IN ('new', 'updated')""")
+def plan_applied(s, d):
+    return Y.apply(delta_plan(s, d), T.registry(s, d))
+
+
+@query("SELECT file_path FROM files EXCEPT SELECT file_path FROM registry")
+def set_new(s, d):
+    return T.files(s, d).join(T.registry(s, d), "file_path", "left_anti").select("file_path").distinct()
+
+
+@query("SELECT file_path FROM registry EXCEPT SELECT file_path FROM files")
+def set_deleted(s, d):
+    return T.registry(s, d).join(T.files(s, d), "file_path", "left_anti").select("file_path").distinct()
+
+
+@query("SELECT file_path FROM files INTERSECT SELECT file_path FROM registry")
+def set_common(s, d):
+    return T.files(s, d).join(T.registry(s, d), "file_path", "left_semi").select("file_path").distinct()
+
+
+def _chunk_rows(s, d):
+    return T.chunks(s, d).select("file_id", "chunk_index", "token_count")
+
+
+@query("SELECT c.file_id, c.chunk_index, c.token_count FROM chunks c LEFT JOIN files f ON c.file_id = f.file_id AND f.file_id % 4 <> 0 WHERE f.file_id IS NULL")
+def orphan_chunks(s, d):
+    return Y.orphans(_chunk_rows(s, d), T.files(s, d).where("file_id % 4 <> 0"))
+
+
+@query("SELECT file_id, chunk_index, token_count FROM chunks WHERE file_id % 10 <> 1 UNION ALL SELECT file_id, chunk_index, token_count + 1 FROM chunks WHERE file_id % 10 = 1 AND file_id % 3 = 0")
+def replace_chunks(s, d):
+    c = _chunk_rows(s, d)
+    fresh = c.where("file_id % 10 = 1 and file_id % 3 = 0").withColumn("token_count", F.col("token_count") + 1)
+    return Y.replace_chunks(c, fresh, T.files(s, d).where("file_id % 10 = 1"))
+
+
+@query("SELECT file_id, chunk_index, token_count FROM chunks WHERE file_id NOT IN (SELECT file_id FROM files WHERE file_id % 10 = 2)")
+def cascade_delete(s, d):
+    return Y.delete_files(T.files(s, d), _chunk_rows(s, d), T.files(s, d).where("file_id % 10 = 2"))[1]
+
+
+@query("SELECT file_id, CASE WHEN sync_status = 'failed' THEN 'pending' ELSE sync_status END AS sync_status FROM files")
+def reset_failed(s, d):
+    return Y.reset_failed(T.files(s, d).select("file_id", "sync_status"))
+
+
+@query("""SELECT slug, CASE WHEN slug IN ('src1', 'src2') THEN 'rotated' ELSE api_key END AS api_key FROM tenants
+UNION ALL SELECT 'newcomer', 'fresh' UNION ALL SELECT v.slug, 'rotated' FROM (SELECT unnest(['src1', 'src2']) AS slug) v WHERE v.slug NOT IN (SELECT slug FROM tenants)""")
+def tenant_upsert(s, d):
+    return Y.upsert(T.tenants(s, d), s.createDataFrame([("src1", "rotated"), ("src2", "rotated"), ("newcomer", "fresh")], "slug string, api_key string"), "slug")
+
+
+@query("""SELECT 'file_size_positive' AS rule, count(*) FILTER (WHERE file_size <= 0) AS n FROM files UNION ALL
+SELECT 'status_known', count(*) FILTER (WHERE sync_status NOT IN ('pending', 'processing', 'synced', 'failed', 'deleted')) FROM files UNION ALL
+SELECT 'hash_present', count(*) FILTER (WHERE file_hash IS NULL OR file_hash = '') FROM files""")
+def quality_violations(s, d):
+    return Y.violations(T.files(s, d))
+
+
+# nearest neighbours
+
+_DOT = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[]))"
+_COS = f"round(1 - {_DOT} / nullif(sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(q.e AS DOUBLE[]))), 0), 6) + 0.0"
+
+
+def _knn_sql(distance: str, more: str = "") -> str:
+    return f"SELECT vec_id, label, {distance} AS distance FROM embeddings v, (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) q {more} ORDER BY distance, vec_id LIMIT 10"
+
+
+def _nearest(s, d, **options):
+    v = T.table(s, d, "embeddings")
+    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return S.knn(v.join(F.broadcast(q)), F.col("q"), **options).select("vec_id", "label", (F.col("distance") + F.lit(0.0)).alias("distance"))  # one query row
+
+
+@query(_knn_sql(_COS), False)
+def knn_cosine(s, d):
+    return _nearest(s, d)
+
+
+@query(_knn_sql(f"round(-{_DOT}, 6) + 0.0"), False)
+def knn_dot(s, d):
+    return _nearest(s, d, metric="dot")
+
+
+@query(_knn_sql("round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) + 0.0"), False)
+def knn_euclidean(s, d):
+    return _nearest(s, d, metric="euclidean")
+
+
+@query(_knn_sql(_COS, f"WHERE 1 - ({_COS}) >= 0.2"), False)
+def knn_threshold(s, d):
+    return _nearest(s, d, threshold=0.2)
+
+
+@query(_knn_sql(_COS, "WHERE v.label = 3"), False)
+def knn_tenant(s, d):
+    v = T.table(s, d, "embeddings")
+    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return S.knn(v.where("label = 3").join(F.broadcast(q)), F.col("q")).select("vec_id", "label", (F.col("distance") + F.lit(0.0)).alias("distance"))
+
+
+_BATCH = f"""WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS distance FROM embeddings v JOIN (SELECT vec_id, embedding AS e, label FROM embeddings WHERE vec_id < 20) q ON {{on}}),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM r) SELECT query_id, vec_id, distance, rank FROM k WHERE rank <= 5"""
+
+
+def _batch(s, d, by=()):
+    v = T.table(s, d, "embeddings")
+    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), *by)
+    return S.knn_batch(v, q, 5, by).withColumn("distance", F.col("distance") + F.lit(0.0))
+
+
+@query(_BATCH.format(on="true"), False)
+def knn_batch(s, d):
+    return _batch(s, d)
+
+
+@query(_BATCH.format(on="q.label = v.label"), False)
+def knn_batch_tenant(s, d):
+    return _batch(s, d, ("label",))
+
+
+@query("""SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM
+(SELECT doc_id, CAST(('0x' || substr(md5(lower(x)), 1, 8)) AS BIGINT) % 384 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(w) AS x FROM worded) GROUP BY 1, 2)""")
+def hash_embed(s, d):
+    return S.hash_embed(_documents(s, d).select("doc_id", "text"), X.words(F.col("text")))
+
+
+# answers
+
+
+@query("""SELECT tenant_slug AS query_id, 'Based on the documents: ' || string_agg(substr(content, 1, 200) || '...', ' ' ORDER BY rank) AS answer, count(*) AS n_sources, CAST(0.8 AS DOUBLE) AS confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY tenant_slug ORDER BY token_count DESC, file_id, chunk_index) AS rank FROM chunks) WHERE rank <= 3 GROUP BY tenant_slug""")
+def answer_extract(s, d):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("tenant_slug").orderBy(F.desc("token_count"), "file_id", "chunk_index"))
+    top = T.chunks(s, d).withColumn("rank", rank).where("rank <= 3").withColumnRenamed("tenant_slug", "query_id")
+    return S.answer(top, "query_id")
+
+
+@query("""SELECT file_id, chunk_index, token_count, filename FROM (SELECT * FROM chunks ORDER BY token_count DESC, file_id, chunk_index LIMIT 10) JOIN files USING (file_id)""")
+def citations(s, d):
+    top = _chunk_rows(s, d).orderBy(F.desc("token_count"), "file_id", "chunk_index").limit(10)
+    return S.citations(top, T.files(s, d))
+
+
+@query("SELECT item_id, t <> '' AS is_valid, CAST(length(text) AS BIGINT) AS length, CAST(CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '\\s+')) END AS BIGINT) AS word_count, CASE WHEN t <> '' THEN 'valid' ELSE 'empty' END AS status FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM benchmark)", False)
+def query_validate(s, d):
+    return S.validate_queries(T.table(s, d, "benchmark").withColumnRenamed("text", "query")).drop("query")
+
+
+@query("SELECT event_id, CASE WHEN value / 100 >= 0.8 THEN 'high' WHEN value / 100 >= 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM events", False)
+def confidence_bucket(s, d):
+    return T.table(s, d, "events").select("event_id", X.confidence_bucket(F.col("value") / 100).alias("bucket"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the')", False)
+def keyword_containment(s, d):
+    return _documents(s, d).where(X.contains_word(F.col("text"), "The")).select("doc_id")
+
+
+# statistics
+
+
+@query("SELECT 'tenants' AS entity, count(*) AS n FROM tenants UNION ALL SELECT 'files', count(*) FROM files UNION ALL SELECT 'chunks', count(*) FROM chunks")
+def system_stats(s, d):
+    return A.system(T.tenants(s, d), T.files(s, d), T.chunks(s, d))
+
+
+@query("SELECT tenant_slug, count(*) FILTER (WHERE sync_status = 'pending') AS pending, count(*) FILTER (WHERE sync_status = 'processing') AS processing, count(*) FILTER (WHERE sync_status = 'synced') AS synced, count(*) FILTER (WHERE sync_status = 'failed') AS failed, count(*) AS total FROM files GROUP BY tenant_slug")
+def tenant_status_breakdown(s, d):
+    return A.by_status(T.files(s, d))
+
+
+@query("SELECT sync_status, count(file_id) AS n FROM files GROUP BY sync_status")
+def status_counts(s, d):
+    return A.status_counts(T.files(s, d))
+
+
+@query("SELECT slug, count(file_id) AS n_files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes, count(DISTINCT file_id) FILTER (WHERE sync_status = 'synced') AS n_synced FROM tenants LEFT JOIN files ON slug = tenant_slug AND file_id % 20 <> 3 GROUP BY slug")
+def tenant_inventory(s, d):
+    return A.inventory(T.tenants(s, d), T.files(s, d).where("file_id % 20 <> 3"))
+
+
+@query("SELECT f.tenant_slug, f.file_id, filename, count(c.file_id) AS n_chunks FROM files f LEFT JOIN chunks c ON f.file_id = c.file_id GROUP BY ALL")
+def file_chunk_counts(s, d):
+    return A.chunks_per_file(T.files(s, d), _chunk_rows(s, d))
+
+
+@query("SELECT tenant_slug, count(*) AS n_chunks, round(avg(token_count), 6) AS avg_tokens, CAST(sum(token_count) AS BIGINT) AS sum_tokens FROM chunks GROUP BY tenant_slug")
+def tenant_token_stats(s, d):
+    return A.tokens_per_tenant(T.chunks(s, d))
+
+
+@query("SELECT count(*) AS n_chunks, round(avg(token_count), 6) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens, count(DISTINCT 'model-' || file_id % 3) AS n_models FROM chunks")
+def chunk_overall_stats(s, d):
+    return A.chunk_overall(T.chunks(s, d).withColumn("embedding_model", F.concat(F.lit("model-"), (F.col("file_id") % 3).cast("string"))))
+
+
+@query("SELECT tenant_slug, count(*) FILTER (WHERE sync_status = 'synced') AS n_ok, count(*) AS n_all, round(100 * (count(*) FILTER (WHERE sync_status = 'synced')) / greatest(count(*), 1), 6) AS success_rate FROM files GROUP BY tenant_slug")
+def success_rate(s, d):
+    return A.success_rate(T.files(s, d))
+
+
+@query("SELECT tenant_slug, count(*) FILTER (WHERE sync_status = 'processing') AS n_processing, bool_or(sync_status = 'processing') AS is_syncing FROM files GROUP BY tenant_slug")
+def sync_flags(s, d):
+    return A.sync_flags(T.files(s, d))
+
+
+@query("SELECT tenant_slug, count(*) AS n_runs, round(100 * (count(*) FILTER (WHERE status = 'completed')) / count(*), 6) AS success_rate, round(avg(duration), 4) AS avg_duration, max(started_at) AS last_started FROM runs GROUP BY tenant_slug")
+def run_metrics(s, d):
+    return A.run_metrics(T.runs(s, d))
+
+
+@query("SELECT run_id, tenant_slug, status, CAST(row_number() OVER (PARTITION BY tenant_slug ORDER BY started_at DESC, run_id DESC) AS INTEGER) AS nth FROM runs QUALIFY nth <= 5")
+def run_history(s, d):
+    return A.latest_run(T.runs(s, d), 5).select("run_id", "tenant_slug", "status", "nth")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", False)
+def event_windows(s, d):
+    return event_counts(T.table(s, d, "events"))
+
+
+@query("SELECT doc_id, round(CAST(strlen(text) AS DOUBLE) / 1048576, 1) AS mb, '[' || array_to_string([doc_id, n_chars], ',') || ']' AS pair FROM documents", False)
+def size_and_literal(s, d):
+    return _documents(s, d).select("doc_id", X.megabytes(F.octet_length("text")).alias("mb"), V.text_form(F.array("doc_id", "n_chars")).alias("pair"))
