@@ -25,6 +25,8 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
     df.write.parquet(path)
+    # The written job's shuffle files go once the driver has collected its plan; nothing else makes it do so in time.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
