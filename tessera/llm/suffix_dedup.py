@@ -251,12 +251,7 @@ def _send_strings(length: int, buckets: int):
 
 
 def _starts(ids, off) -> pa.RecordBatch:
-    """One row per id with its packed offsets."""
-    o = np.lexsort((off, ids))
-    ids, off = ids[o], off[o]
-    begin = np.flatnonzero(_heads(ids)) if len(ids) else np.zeros(0, np.int64)
-    cut = np.append(begin, len(ids))
-    return pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array([_raw(off[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["id", "starts"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(off.astype(np.int64))], ["id", "start"])
 
 
 def _later(k1, k2, ids, off):
@@ -276,7 +271,8 @@ def _cut(length: int):
         for batch in batches:
             marks, per = _lists(batch.column(3))
             ends = np.concatenate([[0], np.cumsum(per)])
-            starts = batch.column(4)
+            starts, n_starts = _lists(batch.column(4))
+            last = np.concatenate([[0], np.cumsum(n_starts)])
             for a, b, buf, off in X.blocks(batch.column(2)):
                 edge = np.zeros(len(buf) + 1, np.int32)
                 size = np.diff(off)
@@ -291,10 +287,8 @@ def _cut(length: int):
                 whole = (mark & 1) == 1
                 s = mark[whole] >> 8
                 cover_up(row[whole], s, s + ((mark[whole] >> 1) & 127) + length)
-                for i in range(a, b):
-                    if starts[i].is_valid:
-                        s = np.frombuffer(b"".join(starts[i].as_py()), np.uint32).astype(np.int64)
-                        cover_up(np.full(len(s), i - a), s, s + length)
+                s = starts[last[a] : last[b]]
+                cover_up(np.repeat(np.arange(b - a), n_starts[a:b]), s, s + length)
                 gone = np.cumsum(edge[:-1]) > 0
                 head = gone.copy()
                 head[1:] &= ~gone[:-1]
@@ -321,8 +315,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     lists = marks.groupBy("id").agg(F.collect_list("mark").alias("marks"))
     hit = stash(texts.join(lists, "id").select("id", "text", "marks"), "hit")
     strings = hit.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 0)).mapInArrow(_send_strings(length, buckets), "bucket int, k1 binary, k2 binary, id binary, off binary")
-    starts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(_later, lambda _a, _b, i, o: _starts(np.frombuffer(i, np.int64), np.frombuffer(o, np.uint32)), 4), "id long, starts binary")
-    per = starts.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    starts = stash(strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(_later, lambda _a, _b, i, o: _starts(np.frombuffer(i, np.int64), np.frombuffer(o, np.uint32)), 4), "id long, start long"), "starts")
+    per = starts.groupBy("id").agg(F.collect_list("start").alias("starts"))
     both = hit.join(per, "id", "left").select("id", F.xxhash64("text").alias("same"), "text", "marks", "starts")
     return both.mapInArrow(_cut(length), "id long, same long, n_removed long, n_spans long, kept binary").where("n_removed > 0").dropDuplicates(["id", "same"])
 
