@@ -1,7 +1,7 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, exact at any size.
 
 1. One pass turns each text into its set of word shingles (64-bit hashes) and keeps, per document,
-   the set's size, a 128-bit sum that names the whole set, a 512-bit bitmap and its tile keys.
+   the set's size, a 128-bit sum that names the whole set, a 2048-bit bitmap and its tile keys.
 2. Tiles. Sizes fall in bands [lo, hi). Two sets that reach the threshold t differ in at most
    d = (1 - t) / (1 + t) * 2 * hi shingles; a band deals every set's shingles into d + 1 + slack parts
    by hash, so two linked sets agree on more than ``slack`` parts. A tile key is (band, part, what the
@@ -29,7 +29,7 @@ from tessera.llm import bytesx as X
 from tessera.llm.components import components
 from tessera.llm.scratch import partitions, stash
 
-WORDS = 8  # 64-bit words of a bitmap
+WORDS = 32  # 64-bit words of a bitmap
 TILE = 1024  # members of one side of a compared tile
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
