@@ -290,7 +290,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return stash(judged.where("same").select("a", "b").union(exact), "linked")
 
     copies = entries.where("key is null").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    star = entries.where("key is not null and id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    # two leads an id are enough to bring groups together; what they miss shows up as a torn tile below
+    shared = entries.where("key is not null and id <> lead").groupBy("id", "lead").count()
+    leads = shared.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
+    star = leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
     links = decide(star).union(copies)
     groups = stash(components(links), "groups")
 
@@ -299,7 +302,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     torn = stash(torn.groupBy("who", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "torn")
     if torn.limit(1).count():
         side = member.join(torn, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-        other = side.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+        lone = small.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).select("id")  # equal sets are compared once
+        other = side.join(lone, "id", "left_semi").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
         dealt = other.join(small.select("id", "n", *bit_cols), "id").select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side", "id", "comp", "n", *bit_cols)
         cross = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tiles(percent), "a long, b long").distinct()
         more = decide(stash(cross, "cross"))
