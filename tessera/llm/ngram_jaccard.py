@@ -294,7 +294,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = entries.where("key is not null and id <> lead").groupBy("id", "lead").count()
     leads = shared.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
     star = leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
-    links = decide(star).union(copies)
+    lone = stash(small.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("holders")), "lone")
+    equal = small.join(lone.where("holders > 1"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = stash(decide(star).union(copies).union(equal).distinct(), "all")
     groups = stash(components(links), "groups")
 
     member = stash(entries.where("key is not null").select("key", "id").distinct().join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
@@ -302,8 +304,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     torn = stash(torn.groupBy("who", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "torn")
     if torn.limit(1).count():
         side = member.join(torn, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-        lone = small.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).select("id")  # equal sets are compared once
-        other = side.join(lone, "id", "left_semi").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+        other = side.join(lone.select(F.col("rep").alias("id")), "id", "left_semi")  # equal sets are compared once
+        other = other.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
         dealt = other.join(small.select("id", "n", *bit_cols), "id").select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side", "id", "comp", "n", *bit_cols)
         cross = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tiles(percent), "a long, b long").distinct()
         more = decide(stash(cross, "cross"))
