@@ -236,7 +236,7 @@ def _tiles(percent: int):
             total = n[p][:, None] + n[right][None, :]
             ham = np.zeros(total.shape, np.int64)
             for j in range(WORDS):
-                ham += np.bitwise_count(bits[j][p][:, None] ^ bits[j][right][None, :])
+                ham += np.bitwise_count((bits[j][p][:, None] ^ bits[j][right][None, :]).view(np.uint64))  # of a signed number it would count the magnitude's bits
             small = np.minimum(n[p][:, None], n[right][None, :])
             ok = (comp[p][:, None] != comp[right][None, :]) & (100 * small >= percent * (total - small)) & ((100 + percent) * ((total - ham) // 2) >= percent * total)
             u, v = np.nonzero(ok)
