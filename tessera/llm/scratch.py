@@ -21,9 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str = "t") -> DataFrame:
+def stash(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """``by``: the table is bucketed by that column, so a later join on it does not shuffle this side."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
+    if by:
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(partitions(spark), by).sortBy(by).option("path", path).format("parquet").saveAsTable(table)
+        spark.sparkContext._jvm.System.gc()
+        return spark.table(table)
     df.write.parquet(path)
     # The written job's shuffle files go once the driver has collected its plan; nothing else makes it do so in time.
     spark.sparkContext._jvm.System.gc()

@@ -313,7 +313,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     sent = texts.where(F.octet_length("text") >= length).mapInArrow(_send_cover(length, buckets), _SENT)
     marks = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(_rank, _direct_marks, 5), "id long, mark long"), "marks")
     lists = marks.groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    hit = stash(texts.join(lists, "id").select("id", "text", "marks"), "hit")
+    hit = stash(texts.join(lists, "id").select("id", "text", "marks"), "hit", "id")  # by id, so that the repeats come to the texts
     strings = hit.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 0)).mapInArrow(_send_strings(length, buckets), "bucket int, k1 binary, k2 binary, id binary, off binary")
     starts = stash(strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(_later, lambda _a, _b, i, o: _starts(np.frombuffer(i, np.int64), np.frombuffer(o, np.uint32)), 4), "id long, start long"), "starts")
     per = starts.groupBy("id").agg(F.collect_list("start").alias("starts"))
