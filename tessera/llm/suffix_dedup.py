@@ -130,7 +130,7 @@ def _send_cover(length: int, buckets: int):
                 row, start, ln, seed, name = cover(buf, off, length)
                 parts.append((seed, name, ids[rows[row]], (base[row] + start).astype(np.uint32), ln.astype(np.uint8)))
                 held += len(row)
-                if held > 1 << 20:
+                if held > 1 << 19:
                     if rows_out := pack(turn, parts):
                         yield emit(rows_out)
                     turn, parts, held = turn + 11, [], 0
@@ -227,7 +227,7 @@ def _send_strings(length: int, buckets: int):
                 k1 = X.mix(X.Rolling(buf).of(at, at + length))
                 k2 = (X.Rolling(buf, other).of(at, at + length) >> np.uint64(32)).astype(np.uint32)
                 found.append((k1, k2, ids[rows[row]], start.astype(np.uint32)))
-                if sum(len(f[0]) for f in found) > 1 << 20:
+                if sum(len(f[0]) for f in found) > 1 << 19:
                     yield from pack(turn, found)
                     turn, found = turn + 11, []
             if found:
