@@ -59,16 +59,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target, most: int, id_co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id")
 
 
-def gather(rows: DataFrame, make) -> list[tuple[int, np.ndarray]]:
-    """(y, array) for each sampled row; ``make(buf, off)`` yields one int64 array a row. The sample bounds what comes to the driver."""
+def gather(rows: DataFrame, make, kind: str = "<i8") -> list[tuple[int, np.ndarray]]:
+    """(y, array) for each sampled row; ``make(buf, off)`` yields one array of ``kind`` a row. The sample bounds what
+    comes to the driver, a partition at a time."""
 
     def run(batches):
         for batch in batches:
             for a, b, buf, off in X.blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array([x.astype("<i8").tobytes() for x in make(buf, off)], pa.binary())], ["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array([x.astype(kind).tobytes() for x in make(buf, off)], pa.binary())], ["id", "y", "x"])
 
-    out = rows.select("text", "id", "y").mapInArrow(run, "id long, y int, x binary").dropDuplicates(["id"]).collect()
-    return [(r.y, np.frombuffer(r.x, "<i8")) for r in sorted(out, key=lambda r: r.id)]
+    out = rows.select("text", "id", "y").mapInArrow(run, "id long, y int, x binary").dropDuplicates(["id"]).toLocalIterator()
+    found = sorted(((r.id, r.y, np.frombuffer(r.x, kind)) for r in out), key=lambda r: r[0])
+    return [(y, x) for _, y, x in found]
 
 
 def sigmoid(z):

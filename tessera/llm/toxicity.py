@@ -23,6 +23,8 @@ from tessera.llm.hashed_text import DIMS, gather, labelled_sample, letters, sigm
 
 MOST = 8000
 SEEN = 4
+SLICE = 1 << 19  # features at a time in training
+FIRST = np.uint32(1 << 31)
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?\n"]] = True
 
@@ -43,37 +45,53 @@ def sentences(buf: np.ndarray, off: np.ndarray):
 
 
 def _compact(buf, off):
-    """Per row: sentence number times DIMS plus feature, for each word."""
+    """Per row: each sentence's distinct features, the first of them with ``FIRST`` added."""
     _, _, row, of, f = sentences(buf, off)
-    key = of * DIMS + f
-    key = np.unique(key)
-    ends = np.searchsorted(row[key // DIMS], np.arange(len(off)))
+    key = np.unique(of * DIMS + f)
+    of, f = key // DIMS, (key % DIMS).astype(np.uint32)
+    f[np.append(True, of[1:] != of[:-1])[: len(f)]] |= FIRST
+    ends = np.searchsorted(row[of], np.arange(len(off)))
     for i in range(len(off) - 1):
-        yield key[ends[i] : ends[i + 1]]
+        yield f[ends[i] : ends[i + 1]]
 
 
 def fit_bags(rows: list[tuple[int, np.ndarray]], rounds: int = 120, rate: float = 0.5, ridge: float = 1e-5) -> Bags:
+    """Fits on ``rows``, (label, features as ``_compact`` gives them). Works in slices of ``SLICE`` features, so the
+    driver holds eight bytes a feature beside its input."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Bags(np.zeros(DIMS, np.float32), -6.0)
-    n = len(y)
-    f = np.concatenate([r[1] % DIMS for r in rows])
-    sent = np.concatenate([r[1] // DIMS for r in rows])
-    doc = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    seen = np.bincount(np.unique(doc * DIMS + f) % DIMS, minlength=DIMS) >= SEEN
-    names, sent = np.unique(doc * (1 << 40) + sent, return_inverse=True)
-    bag = names >> 40
-    f, sent = f[seen[f]], sent[seen[f]]
-    used, f = np.unique(f, return_inverse=True)
+    n, held, sizes = len(y), np.zeros(DIMS, np.int64), []
+    for _, marks in rows:
+        held[np.unique(marks & ~FIRST)] += 1
+        sizes.append(np.count_nonzero(marks & FIRST))
+    seen = held >= SEEN
+    used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
+    bag, start = np.repeat(np.arange(n), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    parts, sents = [], []
+    for i, (_, marks) in enumerate(rows):
+        f = marks & ~FIRST
+        keep = seen[f]
+        parts.append(place[f[keep]])
+        sents.append((start[i] - 1 + np.cumsum(marks >= FIRST)).astype(np.int32)[keep])
+    f, sent = np.concatenate(parts), np.concatenate(sents)
+    del parts, sents
+    # slices end where a sentence does
+    cuts = np.unique(np.searchsorted(sent, np.append(sent[::SLICE], len(bag))))
+    slices = [(a, b, sent[a], sent[b - 1] + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
     weight = np.where(y > 0, np.sqrt((n - y.sum()) / y.sum()), 1.0)  # toxic documents are the rarer class
     w, b, slack, b_slack = np.zeros(len(used)), -5.0, np.zeros(len(used)), 0.0
     for _ in range(rounds):
-        z = b + np.bincount(sent, w[f], minlength=len(bag))
+        z = np.full(len(bag), b)
+        for i, j, lo, hi in slices:
+            z[lo:hi] += np.bincount(sent[i:j] - lo, w[f[i:j]], minlength=hi - lo)
         p = sigmoid(z)
         quiet = np.minimum(np.bincount(bag, -np.logaddexp(0, z), minlength=n), -1e-9)
         pull = np.where(y > 0, np.exp(quiet) / -np.expm1(quiet), -1.0)
         up = p * (pull * weight)[bag] / n
-        g = -np.bincount(f, up[sent], minlength=len(used)) + ridge * w
+        g = ridge * w
+        for i, j, _, _ in slices:
+            g -= np.bincount(f[i:j], up[sent[i:j]], minlength=len(used))
         gb = -up.sum()
         slack += g * g
         b_slack += gb * gb
@@ -91,7 +109,7 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> Bags:
     known = labels.where(~held_out(id_col)).where("toxic is not null")
-    return fit_bags(gather(labelled_sample(docs, known, F.col("toxic"), most, id_col, text_col), _compact))
+    return fit_bags(gather(labelled_sample(docs, known, F.col("toxic"), most, id_col, text_col), _compact, "<u4"))
 
 
 def _score(model: Bags):
