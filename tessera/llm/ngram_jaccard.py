@@ -11,8 +11,9 @@
    holders to the first (a star), so a key that a third of the rows hold stays small.
 4. Star pairs: equal set names link at once; sizes and the bitmaps' Hamming distance bound the
    overlap from above; what is left is decided by intersecting the sorted arrays.
-5. Components of these links. A tile whose members are in one component has nothing left to say. In
-   the others all pairs across components are compared, blockwise, by bitmap and then exactly.
+5. Components of these links. A tile whose holders are all in their lead's component has nothing left
+   to say. In the others all pairs across components are compared, blockwise, by bitmap, then by a
+   bitmap that grows with the set, and then exactly.
 
 Edge cases: null and empty texts have an empty set and link with nothing; fewer than ``k`` words make
 one shingle; a row without an id has no component; rows that repeat an id share its component; extra
@@ -31,6 +32,7 @@ from tessera.llm.scratch import partitions, stash
 
 WORDS = 32  # 64-bit words of a bitmap
 TILE = 1024  # members of one side of a compared tile
+BROADCAST_IDS = 2_000_000  # up to so many counted ids (8 bytes each) are broadcast; more are shuffled
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -165,11 +167,14 @@ def _send(buckets: int):
 
 
 def _meet(batches):
-    """Per bucket: every holder of a key that at least two hold, with the first; what was linked before passes."""
+    """Per bucket: every holder of a key that at least two hold, with the first; what was linked before passes. One row per (id, lead)."""
 
     def rows(key, doc, lead):
-        null = np.zeros(len(doc), bool) if key is not None else np.ones(len(doc), bool)
-        return pa.RecordBatch.from_arrays([pa.array((key if key is not None else doc).view(np.int64), mask=null), pa.array(doc), pa.array(lead)], ["key", "id", "lead"])
+        o = np.lexsort((lead, doc))
+        key, doc, lead = key[o].view(np.int64), doc[o], lead[o]
+        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        keys = pa.ListArray.from_arrays(pa.array(np.append(begin, len(doc)).astype(np.int32)), pa.array(key))
+        return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(lead[begin]), keys], ["id", "lead", "keys"])
 
     def close(keys, docs):
         key, doc = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(docs), np.int64)
@@ -190,19 +195,49 @@ def _meet(batches):
             if lead is None:
                 keys.append(k)
                 docs.append(i)
+            elif k:
+                yield rows(np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(lead, np.int64))
             else:
-                yield rows(np.frombuffer(k, np.uint64) if k else None, np.frombuffer(i, np.int64), np.frombuffer(lead, np.int64))
+                doc = np.frombuffer(i, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.frombuffer(lead, np.int64)), pa.nulls(len(doc), pa.list_(pa.int64()))], ["id", "lead", "keys"])
     if keys:
         yield close(keys, docs)
 
 
+def _wide_bitmap(s: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, four or more a shingle."""
+    size = 1 << max(11, (4 * len(s)).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s >> np.uint64(16)).astype(np.int64) % size] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
             for a, b, buf, off in X.blocks(batch.column(1)):
                 rows, s = shingle_sets(buf, off, k)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(8 * ends), pa.py_buffer(s)]).cast(pa.binary())], ["id", "set"])
+                wide = pa.array([_wide_bitmap(s[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(ends)), wide, pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(8 * ends), pa.py_buffer(s)]).cast(pa.binary())], ["id", "n", "wide", "set"])
+
+    return run
+
+
+def _may(percent: int):
+    """Keeps the pairs whose wide bitmaps, folded to the shorter length, allow enough overlap."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, total in zip(batch.column(2), batch.column(3), batch.column(4).to_numpy(), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                while len(a) != len(b):
+                    a, b = (a, b) if len(a) > len(b) else (b, a)
+                    a = a[: len(a) // 2] | a[len(a) // 2 :]
+                ham = int(np.bitwise_count(a ^ b).sum())
+                keep.append((100 + percent) * ((int(total) - ham) // 2) >= percent * int(total))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return run
 
@@ -269,12 +304,20 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = 2 * partitions(spark)
     named = feats.where("id is not null and n > 0")
     sent = named.select("id", "s1", "s2", "n", "keys").mapInArrow(_send(buckets), "bucket int, keys binary, ids binary, leads binary").where("bucket is not null and length(ids) > 0")
-    entries = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key long, id long, lead long"), "entries")
+    entries = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "id long, lead long, keys array<long>"), "entries")
+    held = entries.where("keys is not null")
+
+    def among(table: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows whose id is listed; few ids go to the rows, or both are shuffled."""
+        ids = stash(ids.select("id").distinct(), "ids")
+        return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
-    small = named.select("id", "n", "s1", "s2", *bit_cols).dropDuplicates(["id"])
+    def sides(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
     def decide(pairs: DataFrame) -> DataFrame:
         """(a, b) -> those that link."""
+        small = among(named.select("id", "n", "s1", "s2", *bit_cols), sides(pairs)).dropDuplicates(["id"])
         a, b = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
         both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
         total, less = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
@@ -282,31 +325,39 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         same = F.expr("n_a = n_b and s1_a = s1_b and s2_a = s2_b")
         bound = (less * 100 >= (total - less) * percent) & (F.floor((total - ham) / 2) * (100 + percent) >= total * percent)
         judged = stash(both.select("a", "b", same.alias("same"), bound.alias("may")).where("same or may"), "judged")
-        open_pairs = judged.where("not same").select("a", "b")
-        ids = open_pairs.select(F.col("a").alias("id")).union(open_pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stash(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, set binary"), "sets")
-        met = open_pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        unsure = judged.where("not same").select("a", "b")
+        sets = stash(among(texts, sides(unsure)).dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, n long, wide binary, set binary"), "sets")
+        wide_a, wide_b = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
+        close = unsure.join(wide_a, "a").join(wide_b, "b").select("a", "b", "wide_a", "wide_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+        close = stash(close.mapInArrow(_may(percent), "a long, b long"), "close")
+        full = among(sets.select("id", "set"), sides(close))
+        met = close.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         exact = met.select("a", "b", "x", "y").mapInArrow(_exact(percent), "a long, b long")
         return stash(judged.where("same").select("a", "b").union(exact), "linked")
 
-    copies = entries.where("key is null").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    copies = entries.where("keys is null").select(F.col("id").alias("a"), F.col("lead").alias("b"))
     # two leads an id are enough to bring groups together; what they miss shows up as a torn tile below
-    shared = entries.where("key is not null and id <> lead").groupBy("id", "lead").count()
+    shared = stash(held.where("id <> lead").groupBy("id", "lead").agg(F.sum(F.size("keys")).alias("count")), "shared")
     leads = shared.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
-    star = leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
-    lone = stash(small.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("holders")), "lone")
-    equal = small.join(lone.where("holders > 1"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    star = stash(leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "star")
+    lone = stash(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("holders")), "lone")
+    equal = named.join(lone.where("holders > 1"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = stash(decide(star).union(copies).union(equal).distinct(), "all")
     groups = stash(components(links), "groups")
 
-    member = stash(entries.where("key is not null").select("key", "id").distinct().join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
-    torn = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("low <> high")
-    torn = stash(torn.groupBy("who", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "torn")
+    # a tile is torn where a holder and its lead are in different components
+    own, led = (groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")) for c in ("id", "lead"))
+    apart = shared.join(own, "id", "left").join(led, "lead", "left").where(F.coalesce("id_comp", "id") != F.coalesce("lead_comp", "lead")).select("id", "lead")
+    torn = stash(held.join(apart, ["id", "lead"], "left_semi").select(F.explode("keys").alias("key")).distinct(), "torn")
     if torn.limit(1).count():
-        side = member.join(torn, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-        other = side.join(lone.select(F.col("rep").alias("id")), "id", "left_semi")  # equal sets are compared once
+        member = held.select(F.explode("keys").alias("key"), "id").join(torn, "key", "left_semi").distinct()
+        member = stash(member.join(own, "id", "left").select("key", "id", F.coalesce("id_comp", "id").alias("comp")), "members")
+        tile = member.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).groupBy("who", "size").agg(F.min("key").alias("key"))
+        side = member.join(tile.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+        other = stash(side.join(lone.select(F.col("rep").alias("id")), "id", "left_semi"), "sides")  # equal sets are compared once
+        small = among(named.select("id", "n", *bit_cols), other).dropDuplicates(["id"])
         other = other.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        dealt = other.join(small.select("id", "n", *bit_cols), "id").select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side", "id", "comp", "n", *bit_cols)
+        dealt = other.join(small, "id").select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side", "id", "comp", "n", *bit_cols)
         cross = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tiles(percent), "a long, b long").distinct()
         more = decide(stash(cross, "cross"))
         groups = components(links.union(more))
