@@ -31,6 +31,7 @@ from tessera.llm.components import components
 from tessera.llm.scratch import partitions, stash
 
 WORDS = 32  # 64-bit words of a bitmap
+BLOCK = 1 << 20  # bytes of text whose hashes are in memory at a time; a longer text is a block of its own
 TILE = 1024  # members of one side of a compared tile
 BROADCAST_IDS = 2_000_000  # up to so many counted ids (8 bytes each) are broadcast; more are shuffled
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -102,7 +103,7 @@ def _features(k: int, percent: int):
 
     def run(batches):
         for batch in batches:
-            for a, b, buf, off in X.blocks(batch.column(1)):
+            for a, b, buf, off in X.blocks(batch.column(1), BLOCK):
                 rows, s = shingle_sets(buf, off, k)
                 n = b - a
                 sizes = np.bincount(rows, minlength=n)
@@ -187,7 +188,8 @@ def _meet(batches):
 
     now, keys, docs = None, [], []
     for batch in batches:
-        for b, k, i, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for at in range(batch.num_rows):  # a row holds many keys, so rows are taken from the batch one at a time
+            b, k, i, lead = (c[at].as_py() for c in batch.columns)
             if b != now:
                 if keys:
                     yield close(keys, docs)
@@ -215,7 +217,7 @@ def _wide_bitmap(s: np.ndarray) -> bytes:
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            for a, b, buf, off in X.blocks(batch.column(1)):
+            for a, b, buf, off in X.blocks(batch.column(1), BLOCK):
                 rows, s = shingle_sets(buf, off, k)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))]).astype(np.int64)
                 wide = pa.array([_wide_bitmap(s[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
@@ -301,7 +303,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bit_cols = [f"b{j}" for j in range(WORDS)]
     feats = stash(texts.mapInArrow(_features(k, percent), "id long, n long, s1 long, s2 long, " + ", ".join(f"{b} long" for b in bit_cols) + ", keys binary"), "features")
-    buckets = 2 * partitions(spark)
+    buckets = 8 * partitions(spark)  # partitions of some eight buckets differ less in size than of one or two
     named = feats.where("id is not null and n > 0")
     sent = named.select("id", "s1", "s2", "n", "keys").mapInArrow(_send(buckets), "bucket int, keys binary, ids binary, leads binary").where("bucket is not null and length(ids) > 0")
     entries = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "id long, lead long, keys array<long>"), "entries")
