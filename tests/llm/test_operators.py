@@ -38,7 +38,8 @@ def empty(docs):
     return docs.where("false")
 
 
-def repeats(rows, length=100):
+def marked(rows, length=100):
+    """id -> (bytes, 1 for each byte of a string that starts earlier too)."""
     seen, out = set(), {}
     for i, t in sorted(rows):
         b = (t or "").encode()
@@ -48,9 +49,19 @@ def repeats(rows, length=100):
             if w in seen:
                 gone[s : s + length] = b"\1" * length
             seen.add(w)
-        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out[i] = (b, gone)
+    return out
+
+
+def left(b, gone):
+    return bytes(c for c, g in zip(b, gone, strict=True) if not g)
+
+
+def repeats(rows, length=100):
+    out = {}
+    for i, (b, gone) in marked(rows, length).items():
         runs = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
-        out[i] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        out[i] = (len(b), sum(gone), runs, hashlib.sha256(left(b, gone)).hexdigest())
     return out
 
 
