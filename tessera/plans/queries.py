@@ -261,9 +261,12 @@ _BATCH = f"""WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS distanc
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM r) SELECT query_id, vec_id, distance, rank FROM k WHERE rank <= 5"""
 
 
-def _batch(s, d, by=()):
+_HUNDREDTH = _BATCH.replace("vec_id < 20", "vec_id % 100 = 0")
+
+
+def _batch(s, d, by=(), asks="vec_id < 20"):
     v = T.table(s, d, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), *by)
+    q = v.where(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), *by)
     return S.knn_batch(v, q, 5, by).withColumn("distance", F.col("distance") + F.lit(0.0))
 
 
@@ -277,6 +280,17 @@ def knn_batch_tenant(s, d):
     return _batch(s, d, ("label",))
 
 
+@query(_HUNDREDTH.format(on="true"), False)
+def knn_batch_hundredth(s, d):
+    """Every hundredth row as a query, so that the queries grow with the table."""
+    return _batch(s, d, asks="vec_id % 100 = 0")
+
+
+@query(_HUNDREDTH.format(on="q.label = v.label"), False)
+def knn_batch_tenant_hundredth(s, d):
+    return _batch(s, d, ("label",), "vec_id % 100 = 0")
+
+
 @query("""SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM
 (SELECT doc_id, CAST(('0x' || substr(md5(lower(x)), 1, 8)) AS BIGINT) % 384 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(w) AS x FROM worded) GROUP BY 1, 2)""")
 def hash_embed(s, d):
@@ -340,6 +354,12 @@ def tenant_inventory(s, d):
     return A.inventory(T.tenants(s, d), T.files(s, d).where("file_id % 20 <> 3"))
 
 
+@query("SELECT slug, count(file_id) AS n_files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes, count(DISTINCT file_id) FILTER (WHERE sync_status = 'synced') AS n_synced FROM tenants LEFT JOIN files ON slug = tenant_slug GROUP BY slug")
+def tenant_inventory_all(s, d):
+    """``tenant_inventory`` leaves out a twentieth of the files, as its SQL does; here all are counted."""
+    return A.inventory(T.tenants(s, d), T.files(s, d))
+
+
 @query("SELECT f.tenant_slug, f.file_id, filename, count(c.file_id) AS n_chunks FROM files f LEFT JOIN chunks c ON f.file_id = c.file_id GROUP BY ALL")
 def file_chunk_counts(s, d):
     return A.chunks_per_file(T.files(s, d), _chunk_rows(s, d))
