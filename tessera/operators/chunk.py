@@ -21,11 +21,15 @@ def _starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > size, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array(F.lit(0)))
 
 
-def chunk_simple(docs: DataFrame, text_col: str = "text", size: int = 512, overlap: int = 50, max_chunks: int = 1000) -> DataFrame:
-    """Overlapping word windows; a text of at most ``size`` words stays as it is, one under ten characters goes."""
+def chunk_simple(docs: DataFrame, text_col: str = "text", size: int = 512, overlap: int = 50, max_chunks: int | None = None) -> DataFrame:
+    """Overlapping word windows; a text of at most ``size`` words stays as it is, one under ten characters goes.
+    Texts are chunked to their end; ``max_chunks`` is for an embedding step that takes only so many of a file."""
     check_window(size, overlap)
     w = docs.where(F.length(strip(F.col(text_col))) >= 10).withColumn("__w", words(F.col(text_col)))
-    cut = w.select("*", F.posexplode(F.slice(_starts(F.size("__w"), size, overlap), 1, max_chunks)).alias("chunk_index", "__s"))
+    starts = _starts(F.size("__w"), size, overlap)
+    if max_chunks is not None:
+        starts = F.slice(starts, 1, max_chunks)
+    cut = w.select("*", F.posexplode(starts).alias("chunk_index", "__s"))
     content = F.when(F.size("__w") <= size, F.col(text_col)).otherwise(F.array_join(F.slice("__w", F.col("__s") + 1, F.lit(size)), " "))
     tokens = F.least(F.size("__w") - F.col("__s"), F.lit(size)).cast("long")
     return cut.withColumns({"content": content, "token_count": tokens}).withColumn("chunk_hash", sha256(F.col("content"))).drop("__w", "__s", text_col)
