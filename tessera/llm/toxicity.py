@@ -124,15 +124,21 @@ def _score(model: Bags):
                 last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True)) if len(row) else np.zeros(0, np.int64)
                 top = order[last]
                 chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+                carry = z >= 0
+                carry[top] = True
+                at = np.flatnonzero(carry)
+                found = pa.StructArray.from_arrays([pa.array(chars[start[at]] - chars[off[row[at]]]), pa.array(chars[end[at]] - chars[off[row[at]]]), pa.array(sigmoid(z[at]))], ["start", "end", "score"])
+                located = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(b - a + 1)).astype(np.int32)), found)
                 s, e, p = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a)
                 s[row[top]], e[row[top]], p[row[top]] = chars[start[top]] - chars[off[row[top]]], chars[end[top]] - chars[off[row[top]]], sigmoid(z[top])
                 none = np.bincount(row, minlength=b - a) == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.clip(score, 0, 1)), pa.array(bad), pa.array(s, mask=none), pa.array(e, mask=none), pa.array(p, mask=none)], ["id", "score", "n_offending", "worst_start", "worst_end", "worst_score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.clip(score, 0, 1)), pa.array(bad), pa.array(s, mask=none), pa.array(e, mask=none), pa.array(p, mask=none), located], ["id", "score", "n_offending", "worst_start", "worst_end", "worst_score", "sentences"])
 
     return run
 
 
 def score(docs: DataFrame, model: Bags, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, n_offending (sentences at 0.5 or more) and the worst sentence's span in code points with its own score."""
+    """id, score, n_offending (sentences at 0.5 or more), the worst sentence's span in code points with its own score, and
+    ``sentences``: (start, end, score) of each sentence at 0.5 or more and of the worst in any case, in the text's order."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_score(model), f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_offending long, worst_start long, worst_end long, worst_score double").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(_score(model), f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_offending long, worst_start long, worst_end long, worst_score double, sentences array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("id", id_col)
