@@ -6,8 +6,9 @@ bitmap full adders, and walks the sum's slices from the most significant downwar
 value. What the dropped slices can add bounds which rows may still win; only those boundary rows get exact
 inner products. A tile passes on its best k a query, and a rank over the tiles' winners ends it.
 
-Ties go to the smaller id. Vectors that are null, empty, hold a null or non-finite component, or a scaled
-component of 2^28 or more (their scores leave 64 bits) take no part. Vectors meet vectors of their own
+Ties go to the smaller id. Vectors with components so large that sums may leave 64 bits stay out of the index and
+are scored in Python's integers; a score among a tile's best that leaves 64 bits is an error. Vectors that are
+null, empty, or hold a null or non-finite component take no part. Vectors meet vectors of their own
 length. A query's own id is no candidate; rows that repeat an id are candidates each. Rows without an id
 take no part; extra columns are ignored; no rows give no rows."""
 
@@ -28,13 +29,17 @@ def _quantise(scale: float):
             v = batch.column(1)
             n = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = v.flatten()
-            x = np.floor(scale * flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False))
+            x = flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(n)])
-            wrong = np.concatenate([[0], np.cumsum(~(np.abs(x) < 1 << 28))])
-            ok = (n > 0) & (wrong[ends[1:]] == wrong[ends[:-1]]) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            x = np.where(np.abs(x) < 1 << 28, x, 0).astype("<i4")
+            held = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[ends]) > 0
+            ok = (n > 0) & ~held(~np.isfinite(x)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore"):
+                x = np.floor(scale * x)
+            # sums of n products of two such components stay under 2^62
+            small = np.abs(x) < np.repeat(np.minimum(1 << 28, np.sqrt(2.0**62 / np.maximum(n, 1))), n)
+            wide, short = held(~small), np.where(small, x, 0).astype("<i4")
             keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(n[keep].astype(np.int32)), pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in keep], pa.binary())], ["id", "asks", "dims", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(n[keep].astype(np.int32)), pa.array([(x if wide[i] else short)[ends[i] : ends[i + 1]].tobytes() for i in keep], pa.binary())], ["id", "asks", "dims", "x"])
 
     return run
 
@@ -111,18 +116,39 @@ class Index:
         return np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
 
 
+def _read(column: pa.ChunkedArray, dims: int):
+    """Positions and int64 rows of the vectors in four-byte integers, and positions and rows of Python's integers of the others."""
+    raw = column.to_pylist()
+    short = np.array([len(r) == 4 * dims for r in raw], bool)
+    x = np.frombuffer(b"".join(r for r in raw if len(r) == 4 * dims), "<i4").reshape(-1, dims).astype(np.int64)
+    wide = np.array([[int(v) for v in np.frombuffer(r, "<f8").tolist()] for r in raw if len(r) != 4 * dims], object).reshape(-1, dims)
+    return np.flatnonzero(short), x, np.flatnonzero(~short), wide
+
+
 def _tile(k: int):
     def run(key, vectors: pa.Table, asked: pa.Table) -> pa.Table:
         qi, si, sc = [], [], []
         if vectors.num_rows and asked.num_rows:
             dims = key[0].as_py()
-            read = lambda c: np.frombuffer(b"".join(c.to_pylist()), "<i4").reshape(-1, dims).astype(np.int64)
-            ids, queries, x = vectors.column("id").to_numpy(), asked.column("asked_id").to_numpy(), read(vectors.column("x"))
-            index = Index(x)
-            for query, q in zip(queries.tolist(), read(asked.column("asked_x")), strict=True):
-                at = index.candidates(q, k, _bits(ids == query))
-                score = x[at] @ q
-                best = np.lexsort((ids[at], -score))[:k]
+            ids, queries = vectors.column("id").to_numpy(), asked.column("asked_id").to_numpy()
+            at_x, x, at_wide, wide = _read(vectors.column("x"), dims)
+            at_q, q_short, at_q_wide, q_wide = _read(asked.column("asked_x"), dims)
+            index = Index(x) if len(x) else None
+            for query, q, fits in [*zip(queries[at_q].tolist(), q_short, [True] * len(at_q)), *zip(queries[at_q_wide].tolist(), q_wide, [False] * len(at_q_wide))]:
+                own = ids[at_x] == query
+                at = np.flatnonzero(~own) if index is None or not fits else index.candidates(q, k, _bits(own))
+                score = x[at] @ q if fits else x[at].astype(object) @ q
+                at = at_x[at]
+                if len(at_wide):
+                    more = np.flatnonzero(ids[at_wide] != query)
+                    score = np.concatenate([score.astype(object), wide[more] @ q.astype(object)])
+                    at = np.concatenate([at, at_wide[more]])
+                if score.dtype == object:
+                    best = np.array(sorted(range(len(at)), key=lambda i: (-score[i], ids[at[i]]))[:k], np.int64)  # noqa: B023
+                    if any(not -(1 << 63) <= score[i] < 1 << 63 for i in best):
+                        raise OverflowError(f"a score of query {query} leaves 64 bits")
+                else:
+                    best = np.lexsort((ids[at], -score))[:k]
                 qi += [query] * len(best)
                 si += ids[at[best]].tolist()
                 sc += score[best].tolist()
