@@ -3,7 +3,8 @@
 Patterns find assignments, access keys and long hex strings. Beside them, every run of at least WINDOW
 key characters is a candidate: a window slides over it, the entropy is kept up from the counts of the
 character that leaves and of the one that enters, and the candidate is a secret if its largest window
-entropy reaches the threshold of its character class, unless an allow-list pattern matches it.
+entropy reaches the threshold of its character class. The allow list suppresses the parts of a candidate,
+between / = _ and -, that it matches; what is left between them is a candidate of its own.
 
 Spans are code points, end exclusive. Edge cases: null counts as empty; texts without a find have empty
 spans; a text may be found under several kinds; rows with a repeated or null id are scanned each; extra
@@ -26,6 +27,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 #: Least window entropy in bits, by character class. Of 20 characters it is at most 4.32.
 HEX_BITS, MIXED_BITS = 3.0, 3.9
 ALLOWED = r"(?i)example|dummy|placeholder|sample|lorem|0123456789|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: What such a candidate still holds: separators and whole parts without an allowed word.
+UNLISTED = r"(?:[/=_-]|(?<![A-Za-z0-9+])(?!(?i:[A-Za-z0-9+]*(?:example|dummy|placeholder|sample|lorem|0123456789|abcdefgh)))[A-Za-z0-9+]++)++"
 KINDS = ("assign", "access", "hex", "entropy")
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -61,6 +64,13 @@ def _suspicious(value: Column) -> Column:
     return mixed & ~value.rlike(ALLOWED) & (window_entropy(value) >= F.when(hexed, HEX_BITS).otherwise(MIXED_BITS))
 
 
+def _candidates(span: Column) -> Column:
+    """The span or, where the allow list matches in it, what lies between the matched parts."""
+    rest = F.filter(match_spans(span["value"], UNLISTED), lambda p: ~F.regexp_replace(p["value"], "^[/=_-]+|[/=_-]+$", "").rlike(ALLOWED))
+    moved = F.transform(rest, lambda p: F.struct((span["start"] + p["start"]).alias("start"), (span["start"] + p["end"]).alias("end"), p["value"].alias("value")))
+    return F.when(span["value"].rlike(ALLOWED), moved).otherwise(F.array(span))
+
+
 def _kind(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"))).cast(_SPAN)
 
@@ -72,7 +82,7 @@ def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
         "__assign": _kind(F.filter(match_spans(text, ASSIGN, 2), lambda s: F.length(s["value"]) >= 6), "assign"),
         "__access": _kind(match_spans(text, ACCESS), "access"),
         "__hex": _kind(match_spans(text, HEX), "hex"),
-        "__entropy": _kind(F.filter(match_spans(text, CANDIDATE), lambda s: _suspicious(s["value"])), "entropy"),
+        "__entropy": _kind(F.filter(F.flatten(F.transform(match_spans(text, CANDIDATE), _candidates)), lambda s: _suspicious(s["value"])), "entropy"),
     })
 
 
