@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.tasks import lean
+
 ROWS, QUERIES = 16_384, 256
 LOW_BITS = 2
 
@@ -160,7 +162,7 @@ def _tile(k: int):
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id and score of the k best rows for each row that ``queries`` selects."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    ready = rows.select("id", "v", "asks").mapInArrow(_quantise(scale), "id long, asks boolean, dims int, x binary")
+    ready = rows.select("id", "v", "asks").mapInArrow(lean(_quantise(scale)), "id long, asks boolean, dims int, x binary")
     n, m = ready.agg(F.count("*"), F.count_if("asks")).first()
     blocks, asked = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
     left = ready.select("dims", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("ask"), "id", "x")

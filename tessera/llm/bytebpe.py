@@ -13,11 +13,13 @@ import re
 import numpy as np
 
 from tessera.llm import bytesx as X
+from tessera.llm import tasks
 
+#: Fixed value: the pattern that the vocabulary is made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST = 1 << 20  # chunks that a worker remembers
+MOST = 1 << 19  # chunks that a worker remembers
 ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[str, Encoder] = tasks.caches.setdefault("bytebpe", {})
 
 
 def _bytes_of_chars() -> dict[str, int]:

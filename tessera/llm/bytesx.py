@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tessera.llm import tasks
+
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C55)
 BLOCK = 1 << 20
@@ -16,7 +18,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[str, np.ndarray] = tasks.caches.setdefault("powers", {})
 
 
 def _power_table(name: str, base: int, n: int) -> np.ndarray:

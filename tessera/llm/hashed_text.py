@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
+from tessera.llm.tasks import lean
 
 DIMS = 1 << 18
 PER_WORD = 4  # features
@@ -68,7 +69,7 @@ def gather(rows: DataFrame, make, kind: str = "<i8") -> list[tuple[int, np.ndarr
             for a, b, buf, off in X.blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array([x.astype(kind).tobytes() for x in make(buf, off)], pa.binary())], ["id", "y", "x"])
 
-    out = rows.select("text", "id", "y").mapInArrow(run, "id long, y int, x binary").dropDuplicates(["id"]).toLocalIterator()
+    out = rows.select("text", "id", "y").mapInArrow(lean(run), "id long, y int, x binary").dropDuplicates(["id"]).toLocalIterator()
     found = sorted(((r.id, r.y, np.frombuffer(r.x, kind)) for r in out), key=lambda r: r[0])
     return [(y, x) for _, y, x in found]
 

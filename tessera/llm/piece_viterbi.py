@@ -9,7 +9,7 @@ The best segmentation has the largest sum of the vocabulary's piece scores; ties
 A character that no piece holds becomes its UTF-8 byte pieces, at 10 under the lowest score. Decoding maps ids to
 bytes, marks to spaces, and drops the first space. Control and unknown pieces decode to nothing.
 
-Edge cases: null and empty texts have no ids; a mark character in the text itself is encoded as bytes, so every
+Edge cases: null and empty texts have no ids; a byte that is no UTF-8 is read as U+FFFD; a mark character in the text itself is encoded as bytes, so every
 valid text comes back; rows with a repeated or null id are encoded each; extra columns are ignored."""
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
+from tessera.llm import tasks
+from tessera.llm.tasks import lean
 
 MARK = "▁"
-MOST = 1 << 20  # words that a worker remembers
-_loaded: dict[str, Pieces] = {}
+MOST = 1 << 19  # words that a worker remembers
+_loaded: dict[str, Pieces] = tasks.caches.setdefault("pieces", {})
 
 
 def pieces(path: str) -> Pieces:
@@ -190,8 +192,8 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array<int>), ids_crc32 (of the ids as little-endian 32-bit numbers) and the text."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_encode(vocabulary), "id long, ids array<int>, ids_crc32 long, text string").withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
+    return texts.mapInArrow(lean(_encode(vocabulary), "pieces"), "id long, ids array<int>, ids_crc32 long, text string").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -199,7 +201,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
     first = encoded.columns
     ordered = encoded.select(first[0], ids_col, *[c for c in first[1:] if c != ids_col])
     shape = ", ".join(f"`{n}` {t}" for n, t in ordered.dtypes)
-    return ordered.mapInArrow(_decode(vocabulary), shape + ", bytes binary").select(*first, F.expr("make_valid_utf8(cast(bytes as string))").alias("decoded"))
+    return ordered.mapInArrow(lean(_decode(vocabulary), "pieces"), shape + ", bytes binary").select(*first, F.expr("make_valid_utf8(cast(bytes as string))").alias("decoded"))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
+from tessera.llm.tasks import lean
 from tessera.llm.hashed_text import DIMS, PER_WORD, gather, labelled_sample, sigmoid, word_features
 
 MOST = 4000
@@ -95,7 +96,7 @@ def _score(model: Ordinal, keep_at: float):
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
     """id, expected_grade, p_grade_1, p_grade_2 (tail probabilities) and kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = texts.mapInArrow(_score(model, keep_at), f"id {docs.schema[id_col].dataType.simpleString()}, expected_grade double, p_grade_1 double, p_grade_2 double, kept boolean")
+    out = texts.mapInArrow(lean(_score(model, keep_at)), f"id {docs.schema[id_col].dataType.simpleString()}, expected_grade double, p_grade_1 double, p_grade_2 double, kept boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -114,4 +115,4 @@ def _select(model: Ordinal, keep_at: float, at: int):
 
 def select(docs: DataFrame, model: Ordinal, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model keeps, with all their columns."""
-    return docs.mapInArrow(_select(model, keep_at, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_select(model, keep_at, docs.columns.index(text_col))), docs.schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
+from tessera.llm.tasks import lean
 from tessera.llm.hashed_text import DIMS, gather, labelled_sample, letters, sigmoid
 
 MOST = 8000
@@ -141,4 +142,4 @@ def score(docs: DataFrame, model: Bags, id_col: str = "doc_id", text_col: str =
     """id, score, n_offending (sentences at 0.5 or more), the worst sentence's span in code points with its own score, and
     ``sentences``: (start, end, score) of each sentence at 0.5 or more and of the worst in any case, in the text's order."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_score(model), f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_offending long, worst_start long, worst_end long, worst_score double, sentences array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(lean(_score(model)), f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_offending long, worst_start long, worst_end long, worst_score double, sentences array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("id", id_col)
