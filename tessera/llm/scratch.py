@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 ``stash`` cuts lineage by writing Parquet under ``spark.checkpoint.dir`` and reading it back, so a
-lost executor costs a retry of tasks and never a recomputation of the whole job."""
+lost executor costs a retry of tasks and never a recomputation of the whole job. ``drop`` deletes what
+no later step reads."""
 
 from __future__ import annotations
 
@@ -11,12 +12,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_tables: dict[str, str] = {}  # registered tables by their folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A new folder name under spark.checkpoint.dir. Only a local master, as in tests, gets a temporary folder where that
+    is unset; on a cluster that would be the driver's own disk, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _local.setdefault("root", "file://" + tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -28,12 +34,26 @@ def stash(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     if by:
         table = f"{name}_{uuid.uuid4().hex}"
         df.write.bucketBy(partitions(spark), by).sortBy(by).option("path", path).format("parquet").saveAsTable(table)
-        spark.sparkContext._jvm.System.gc()
-        return spark.table(table)
-    df.write.parquet(path)
+        _tables[path.rsplit("/", 1)[-1]] = table
+        out = spark.table(table)
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     # The written job's shuffle files go once the driver has collected its plan; nothing else makes it do so in time.
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out.stashed = path
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Deletes the folders (and the table names) of data frames that ``stash`` gave back."""
+    for df in stashed:
+        spark, path = df.sparkSession, df.stashed
+        table = _tables.pop(path.rsplit("/", 1)[-1], None)
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,10 +12,12 @@ about 2.7 % of the positions are in it.
    suffixes further), a prefix with one name is unique.
 2. Suffixes. Only where one prefix has several names (the edges of copies) are the strings themselves
    sorted, again one bucket at a time, by (hash of 96 bits, position): all but the first are repeats.
+   What travels is a name's bytes, once, to its prefix's bucket; its strings are made there.
 3. Repeats are joined to the texts and their union is cut out.
 
 Tasks send each name once and mark their own further holders, so a passage that a third of the rows
-hold costs one entry per task. A prefix with many names in a task is spread over the buckets.
+hold costs one entry per task. A prefix with many names in a task is spread over the buckets, and its
+strings go one by one to the buckets of their own hashes. The number of buckets follows the table's bytes.
 
 Positions are ordered by (id, offset). Edge cases: a null text counts as empty; a null id sorts last;
 rows that repeat an id share its repeats, and a position isn't earlier than itself; texts under
@@ -29,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
-from tessera.llm.scratch import partitions, stash
+from tessera.llm.scratch import drop, partitions, stash
+from tessera.llm.tasks import lean
 
 SEED = 28
 PIECE = 1 << 20  # bytes of a text handled at once
 SPREAD = 32  # names of one prefix in a task from which they are dealt over all buckets
+BUCKET = 32 << 20  # bytes of text whose cover goes to one bucket
+AT_ONCE = 1 << 18  # strings that are sorted together
 LAST_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 22) - 1)
 
@@ -101,6 +106,8 @@ def _by_bucket(where, columns, buckets):
 
 
 def _send_cover(length: int, buckets: int):
+    most = max(1 << 19, 4 * buckets)  # entries sent together: a packed row holds several at any number of buckets
+
     def pack(turn, parts):
         seed, name, ids, off, ln = (np.concatenate(c) for c in zip(*parts, strict=True))
         o = np.lexsort((off, ids, name, seed))
@@ -130,7 +137,7 @@ def _send_cover(length: int, buckets: int):
                 row, start, ln, seed, name = cover(buf, off, length)
                 parts.append((seed, name, ids[rows[row]], (base[row] + start).astype(np.uint32), ln.astype(np.uint8)))
                 held += len(row)
-                if held > 1 << 19:
+                if held > most:
                     if rows_out := pack(turn, parts):
                         yield emit(rows_out)
                     turn, parts, held = turn + 11, [], 0
@@ -140,7 +147,7 @@ def _send_cover(length: int, buckets: int):
     return run
 
 
-def _bucketwise(close, direct, columns: int):
+def _bucketwise(close, direct):
     """Reads packed rows sorted by bucket, one bucket at a time. Rows whose first packed column is null go to ``direct``."""
 
     def run(batches):
@@ -161,9 +168,9 @@ def _bucketwise(close, direct, columns: int):
     return run
 
 
-def _marks(ids, off, ln, whole) -> pa.RecordBatch:
-    """mark: offset, number of strings less one, and if all of them are repeats."""
-    mark = (off.astype(np.int64) << 8) | ((ln & 127).astype(np.int64) << 1) | whole
+def _marks(ids, off, ln, whole, hot=0) -> pa.RecordBatch:
+    """mark: offset, number of strings less one, if the prefix is spread, and if all the strings are repeats."""
+    mark = (off.astype(np.int64) << 9) | ((ln & 127).astype(np.int64) << 2) | (np.int64(1) * hot << 1) | whole
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mark)], ["id", "mark"])
 
 
@@ -184,11 +191,12 @@ def _rank(seed, name, ids, off, ln):
     head, of = _heads(seed, name), _heads(seed)
     begin = np.flatnonzero(of)
     group = np.cumsum(of) - 1
-    torn = (np.add.reduceat(head.astype(np.int64), begin) > 1) | (np.maximum.reduceat(ln, begin) >= 128)
+    hot = np.maximum.reduceat(ln, begin) >= 128
+    torn = (np.add.reduceat(head.astype(np.int64), begin) > 1) | hot
     lead = _lead(head)
     later = ~head & ((ids != ids[lead]) | (off != off[lead]))
     keep = later | (head & torn[group])
-    return _marks(ids[keep], off[keep], ln[keep], later[keep].astype(np.int64))
+    return _marks(ids[keep], off[keep], ln[keep], later[keep].astype(np.int64), hot[group][keep].astype(np.int64))
 
 
 def _direct_marks(_seed, _name, ids, off, ln):
@@ -202,50 +210,87 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), n
 
 
+_STRINGS = "bucket int, k1 binary, k2 binary, id binary, off binary, len binary, raw binary"
+_OTHER = 0xD1342543DE82EF95
+
+
+def _string_names(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that name each string."""
+    end = at + length
+    return X.mix(X.Rolling(buf).of(at, end)), (X.Rolling(buf, _OTHER).of(at, end) >> np.uint64(32)).astype(np.uint32)
+
+
 def _send_strings(length: int, buckets: int):
-    other = 0xD1342543DE82EF95
+    """The strings of torn names: a name's bytes by its prefix, or, of spread prefixes, each string's hash by itself."""
+    types = (pa.int32(), *[pa.binary()] * 6)
 
-    def run(batches):
-        turn = 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            marks, per = _lists(batch.column(2))
-            ends = np.concatenate([[0], np.cumsum(per)])
-            found = []
-            for rows, base, buf, off in _pieces(batch.column(1), length):
-                local = X.ranges(ends[rows], per[rows])
-                row = np.repeat(np.arange(len(rows)), per[rows])
-                mark = marks[local]
-                torn = (mark & 1) == 0
-                mark, row = mark[torn], row[torn]
-                count = ((mark >> 1) & 127) + 1
-                start = X.ranges((mark >> 8), count)
-                row = np.repeat(row, count)
-                inside = (start >= base[row]) & (start - base[row] + length <= np.diff(off)[row])
-                start, row = start[inside], row[inside]
-                at = start - base[row] + off[row]
-                k1 = X.mix(X.Rolling(buf).of(at, at + length))
-                k2 = (X.Rolling(buf, other).of(at, at + length) >> np.uint64(32)).astype(np.uint32)
-                found.append((k1, k2, ids[rows[row]], start.astype(np.uint32)))
-                if sum(len(f[0]) for f in found) > 1 << 19:
-                    yield from pack(turn, found)
-                    turn, found = turn + 11, []
-            if found:
-                yield from pack(turn, found)
-                turn += 11
-
-    def pack(turn, found):
-        k1, k2, ids, off = (np.concatenate(c) for c in zip(*found, strict=True))
+    def emit(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "k1", "k2", "id", "off", "len", "raw"])
+
+    def bucket_of(key):
+        return ((key >> np.uint64(13)) % np.uint64(buckets)).astype(np.int64)
+
+    def pack_runs(parts):
+        seed, ids, off, ln = (np.concatenate([p[j] for p in parts]) for j in range(4))
+        raw, size = np.concatenate([p[4] for p in parts]), ln.astype(np.int64) + length
+        first = np.cumsum(size) - size
+        where = bucket_of(seed)
+        o = np.argsort(where, kind="stable")
+        cut = np.searchsorted(where[o], np.arange(buckets + 1))
+        for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            at = o[cut[b] : cut[b + 1]]
+            yield b, _raw(seed[at]), None, _raw(ids[at]), _raw(off[at]), _raw(ln[at]), _raw(raw[X.ranges(first[at], size[at])])
+
+    def pack_strings(turn, parts):
+        k1, k2, ids, off = (np.concatenate(c) for c in zip(*parts, strict=True))
         o = np.lexsort((off, ids, k2, k1))
         k1, k2, ids, off = k1[o], k2[o], ids[o], off[o]
-        if not len(k1):
-            return
         head = _heads(k1, k2)
         lead = _lead(head)
         later = ~head & ((ids != ids[lead]) | (off != off[lead]))
-        out = [(turn % buckets, None, None, _raw(ids[later]), _raw(off[later]))] if later.any() else []
-        out += _by_bucket(((k1[head] >> np.uint64(13)) % np.uint64(buckets)).astype(np.int64), (k1[head], k2[head], ids[head], off[head]), buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "k1", "k2", "id", "off"])
+        if later.any():
+            yield turn % buckets, None, None, _raw(ids[later]), _raw(off[later]), None, None
+        for row in _by_bucket(bucket_of(k1[head]), (k1[head], k2[head], ids[head], off[head]), buckets):
+            yield *row, None, None
+
+    def run(batches):
+        turn, runs, strings, held = 0, [], [], 0
+
+        def send():
+            out = [*(pack_runs(runs) if runs else ()), *(pack_strings(turn, strings) if strings else ())]
+            runs.clear()
+            strings.clear()
+            return [emit(out)] if out else []
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            marks, per = _lists(batch.column(2))
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), per)
+            torn = (marks & 1) == 0
+            place = (owner[torn] << 32) | (marks[torn] >> 9)
+            o = np.argsort(place)
+            place, spread = place[o], ((marks[torn] >> 1) & 1)[o] > 0
+            for rows, base, buf, off in _pieces(batch.column(1), length):
+                row, start, ln, seed, _ = cover(buf, off, length)  # the same runs as at first, of which the torn ones are taken
+                if not len(row) or not len(place):
+                    continue
+                mine = (rows[row] << 32) | (base[row] + start)
+                at = np.minimum(np.searchsorted(place, mine), len(place) - 1)
+                found = place[at] == mine
+                row, start, ln, seed, hot = row[found], start[found], ln[found], seed[found], spread[at[found]]
+                begin, ln = start + off[row], ln.astype(np.uint8)
+                if (~hot).any():
+                    r = ~hot
+                    runs.append((seed[r], ids[rows[row[r]]], (base[row[r]] + start[r]).astype(np.uint32), ln[r], buf[X.ranges(begin[r], ln[r].astype(np.int64) + length)]))
+                    held += np.count_nonzero(r) * 8
+                if hot.any():
+                    count = ln[hot].astype(np.int64) + 1
+                    strings.append((*_string_names(buf, X.ranges(begin[hot], count), length), np.repeat(ids[rows[row[hot]]], count), X.ranges(base[row[hot]] + start[hot], count).astype(np.uint32)))
+                    held += int(count.sum())
+                if held > max(1 << 19, 4 * buckets):
+                    yield from send()
+                    turn, held = turn + 11, 0
+        yield from send()
 
     return run
 
@@ -254,8 +299,7 @@ def _starts(ids, off) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(off.astype(np.int64))], ["id", "start"])
 
 
-def _later(k1, k2, ids, off):
-    k1, k2, ids, off = np.frombuffer(k1, np.uint64), np.frombuffer(k2, np.uint32), np.frombuffer(ids, np.int64), np.frombuffer(off, np.uint32)
+def _later(k1, k2, ids, off) -> pa.RecordBatch:
     o = np.lexsort((off, ids, k2, k1))
     k1, k2, ids, off = k1[o], k2[o], ids[o], off[o]
     head = _heads(k1, k2)
@@ -264,8 +308,51 @@ def _later(k1, k2, ids, off):
     return _starts(ids[later], off[later])
 
 
-def _cut(length: int):
-    """Union of the repeats of each text, and what is left."""
+def _sort_strings(length: int):
+    """Per bucket: every string but the first of its kind."""
+
+    def of_runs(cells):
+        seed, _, ids, off, ln, raw = (b"".join(c) if c[0] is not None else None for c in zip(*cells, strict=True))
+        seed, ids, off = np.frombuffer(seed, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(off, np.uint32)
+        count, raw = np.frombuffer(ln, np.uint8).astype(np.int64) + 1, np.frombuffer(raw, np.uint8)
+        size = count - 1 + length
+        first = np.cumsum(size) - size
+        o = np.argsort(seed, kind="stable")
+        group = np.flatnonzero(_heads(seed[o]))
+        total = np.concatenate([[0], np.cumsum(count[o])])
+        # slices of whole prefixes, so that equal strings meet
+        cuts = np.unique(np.append(group[np.searchsorted(total[group], np.arange(0, total[-1], AT_ONCE), "right") - 1], len(o)))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            at = o[a:b]
+            buf, where = raw[X.ranges(first[at], size[at])], np.cumsum(size[at]) - size[at]
+            yield _later(*_string_names(buf, X.ranges(where, count[at]), length), np.repeat(ids[at], count[at]), X.ranges(off[at].astype(np.int64), count[at]))
+
+    def of_strings(cells):
+        k1, k2, ids, off = (b"".join(c) for c in list(zip(*cells, strict=True))[:4])
+        yield _later(np.frombuffer(k1, np.uint64), np.frombuffer(k2, np.uint32), np.frombuffer(ids, np.int64), np.frombuffer(off, np.uint32))
+
+    def run(batches):
+        now, runs, strings = None, [], []
+        for batch in batches:
+            for b, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != now:
+                    for kind, held in ((of_runs, runs), (of_strings, strings)):
+                        if held:
+                            yield from kind(held)
+                    now, runs, strings = b, [], []
+                if cells[0] is None:
+                    yield _starts(np.frombuffer(cells[2], np.int64), np.frombuffer(cells[3], np.uint32))
+                else:
+                    (strings if cells[1] is not None else runs).append(cells)
+        for kind, held in ((of_runs, runs), (of_strings, strings)):
+            if held:
+                yield from kind(held)
+
+    return run
+
+
+def _cut(length: int, whole_chars: bool):
+    """Union of the repeats of each text, and what is left; with ``whole_chars`` without the rest of a split code point."""
 
     def run(batches):
         for batch in batches:
@@ -285,8 +372,8 @@ def _cut(length: int):
                 mark = marks[ends[a] : ends[b]]
                 row = np.repeat(np.arange(b - a), per[a:b])
                 whole = (mark & 1) == 1
-                s = mark[whole] >> 8
-                cover_up(row[whole], s, s + ((mark[whole] >> 1) & 127) + length)
+                s = mark[whole] >> 9
+                cover_up(row[whole], s, s + ((mark[whole] >> 2) & 127) + length)
                 s = starts[last[a] : last[b]]
                 cover_up(np.repeat(np.arange(b - a), n_starts[a:b]), s, s + length)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -296,43 +383,63 @@ def _cut(length: int):
                 head[full] = gone[full]
                 total = np.concatenate([[0], np.cumsum(gone)])
                 runs = np.concatenate([[0], np.cumsum(head)])
+                if whole_chars and gone.any():
+                    lead = (buf & 0xC0) != 0x80
+                    lead[full] = True
+                    gone = np.repeat(np.maximum.reduceat(gone, at := np.flatnonzero(lead)), np.diff(np.append(at, len(buf))))
                 left = buf[~gone]
-                new = (off - total[off]).astype(np.int64)
+                new = (off - np.concatenate([[0], np.cumsum(gone)])[off]).astype(np.int64)
                 kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(new), pa.py_buffer(left)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(np.diff(total[off])), pa.array(np.diff(runs[off])), kept], ["id", "same", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id, same, n_removed, n_spans, kept) of the texts that lose bytes; ``same`` is xxhash64 of the text."""
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, whole_chars: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, same, n_removed, n_spans, kept) of the texts that lose bytes, and the stashed tables that it reads;
+    ``same`` is xxhash64 of the text."""
     if not 64 <= length <= 155:
         raise ValueError("length must lie in 64..155 bytes")
-    buckets = 2 * partitions(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sent = texts.where(F.octet_length("text") >= length).mapInArrow(_send_cover(length, buckets), _SENT)
-    marks = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(_rank, _direct_marks, 5), "id long, mark long"), "marks")
+    bytes_held = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(2 * partitions(docs.sparkSession), -(-bytes_held // BUCKET))
+    sent = texts.where(F.octet_length("text") >= length).mapInArrow(lean(_send_cover(length, buckets)), _SENT)
+    ranked = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bucketwise(_rank, _direct_marks)), "id long, mark long")
+    marks = stash(ranked, "marks")
     lists = marks.groupBy("id").agg(F.collect_list("mark").alias("marks"))
     hit = stash(texts.join(lists, "id").select("id", "text", "marks"), "hit", "id")  # by id, so that the repeats come to the texts
-    strings = hit.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 0)).mapInArrow(_send_strings(length, buckets), "bucket int, k1 binary, k2 binary, id binary, off binary")
-    starts = stash(strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(_later, lambda _a, _b, i, o: _starts(np.frombuffer(i, np.int64), np.frombuffer(o, np.uint32)), 4), "id long, start long"), "starts")
+    drop(marks)
+    torn = hit.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 0))
+    strings = torn.mapInArrow(lean(_send_strings(length, buckets)), _STRINGS)
+    starts = stash(strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sort_strings(length)), "id long, start long"), "starts")
     per = starts.groupBy("id").agg(F.collect_list("start").alias("starts"))
     both = hit.join(per, "id", "left").select("id", F.xxhash64("text").alias("same"), "text", "marks", "starts")
-    return both.mapInArrow(_cut(length), "id long, same long, n_removed long, n_spans long, kept binary").where("n_removed > 0").dropDuplicates(["id", "same"])
+    cut = both.mapInArrow(lean(_cut(length, whole_chars)), "id long, same long, n_removed long, n_spans long, kept binary")
+    return cut.where("n_removed > 0").dropDuplicates(["id", "same"]), [hit, starts]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("same"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    lost = stash(removals(docs, id_col, text_col, length).select("id", "same", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")), "lost")
-    return own.join(lost, ["id", "same"], "left").select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+    own = docs.select(
+        F.col(id_col).alias("__own"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("__id"), F.xxhash64(text).alias("__same"),
+        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"),
+    )
+    found, read = removals(docs, id_col, text_col, length)
+    lost = stash(found.select(F.col("id").alias("__id"), F.col("same").alias("__same"), "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")), "lost")
+    drop(*read)
+    zero = F.lit(0).cast("long")
+    return own.join(lost, ["__id", "__same"], "left").select(
+        F.col("__own").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"),
+    )
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """``docs`` with repeats cut out of the text (n_chars, where there is one, is counted anew); rows with nothing left go.
     A code point that a cut splits is dropped."""
-    lost = stash(removals(docs, id_col, text_col, length).select(F.col("id").alias("__id"), F.col("same").alias("__same"), F.expr("replace(make_valid_utf8(cast(kept as string)), '�', '')").alias("__kept")), "lost")
+    found, read = removals(docs, id_col, text_col, length, whole_chars=True)
+    lost = stash(found.select(F.col("id").alias("__id"), F.col("same").alias("__same"), F.col("kept").cast("string").alias("__kept")), "lost")
+    drop(*read)
     on = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__same"))
     both = docs.join(lost, on, "left").where("__kept is null or __kept <> ''")
     new = {text_col: F.coalesce("__kept", text_col)}
