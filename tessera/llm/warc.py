@@ -7,7 +7,7 @@ Archives live in the shared folder and are opened through pyarrow.fs, so any sto
 Tasks write under names of their own attempt; only what a finished task reports is read.
 
 Of equal payloads of at least ``least`` bytes the record with the smallest id is the response, the others
-revisit it. Edge cases: a null payload is empty; a null id is kept, and revisits if a numbered page has the
+revisit it. Edge cases: a null payload is empty; a payload's bytes are kept as they are, valid UTF-8 or not; a null id is kept, and revisits if a numbered page has the
 payload; rows that repeat the smallest id are responses each; extra columns are ignored; no rows give no rows."""
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import shared_dir, stash
+from tessera.llm.tasks import lean
 
 CHUNK = 1 << 16
 ARCHIVE = 64 << 20  # uncompressed bytes after which a task begins a new file
@@ -55,7 +56,7 @@ def _write(folder: str):
                 if out is None:
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
                     out, number, size, count = store.open_output_stream(f"{base}/{name}", compression=None), number + 1, 0, 0
-                raw = record(page_id, url, (payload or "").encode(), refers_to)
+                raw = record(page_id, url, payload or b"", refers_to)
                 gz = zlib.compressobj(3, zlib.DEFLATED, 31)
                 out.write(gz.compress(raw) + gz.flush())
                 size, count = size + len(raw), count + 1
@@ -78,11 +79,14 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     folder = folder or shared_dir(spark) + "-warc"
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2(F.col("payload").cast("binary"), 256)))
-    dups = stash(rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "dups")
-    told = rows.join(dups, "digest", "left").select("page_id", "url", "payload", F.expr("case when page_id is null or page_id <> first then first end").alias("refers_to"))
-    return stash(told.mapInArrow(_write(folder), "path string, records long"), "archives")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.make_valid_utf8(F.col(url_col).cast("string")).alias("url"), F.col(payload_col).cast("string").cast("binary").alias("payload"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
+    # who revisits whom is settled on ids and digests alone, so that payloads never meet by a digest that many share
+    named = rows.where("digest is not null").select("page_id", "digest")
+    dups = stash(named.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n"), "dups")
+    again = stash(named.join(dups, "digest").where("page_id is null or page_id <> refers_to").distinct().withColumnRenamed("page_id", "again_id").withColumnRenamed("digest", "again_digest"), "again")
+    told = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "payload", "refers_to")
+    return stash(told.mapInArrow(lean(_write(folder)), "path string, records long"), "archives")
 
 
 def _inflate(stream) -> Iterator[tuple[bytes, bool]]:
@@ -197,4 +201,4 @@ def _read(keep_payload: bool):
 def read_warc(spark: SparkSession, archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the archives in column ``path``, one task a few files."""
     n = max(1, archives.count())
-    return archives.select("path").repartition(n).mapInArrow(_read(payloads), RECORD)
+    return archives.select("path").repartition(n).mapInArrow(lean(_read(payloads)), RECORD)
