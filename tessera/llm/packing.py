@@ -2,10 +2,10 @@
 
 Documents become token counts (plus one end token), those over the capacity are cut into full pieces
 with the rest in front. Every partition packs its own pieces best-fit decreasing, and bins that are
-nearly full are final. Underfull bins travel on as items: groups of partitions merge, best-fit again,
-until a round gains no more. A round's partitions hold a bounded number of bins, so no task holds all.
+nearly full are final. Underfull bins travel on as items: FAN_IN partitions merge and best-fit again, until
+one is left or merging makes no fewer. A round's partitions hold a bounded number of bins, so no task holds all.
 
-Edge cases: a null text is one end token; a null id stays null; rows that repeat an id are packed each;
+Edge cases: a null text is one end token; a byte that is no UTF-8 is read as U+FFFD; a null id stays null; rows that repeat an id are packed each;
 extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bytesx as X
 from tessera.llm.bytebpe import encoder
 from tessera.llm.scratch import stash
+from tessera.llm.tasks import lean
 
 ITEM = np.dtype([("id", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 AT_ONCE = 100_000  # items or bins that a task packs together
@@ -49,8 +50,8 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
 
 def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(id, piece, start, length, crc): the documents' token sequences, cut where they exceed the capacity."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_pieces(vocabulary, capacity, end_id), "id long, piece int, start long, length long, crc long")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
+    return texts.mapInArrow(lean(_pieces(vocabulary, capacity, end_id), "bytebpe"), "id long, piece int, start long, length long, crc long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -77,8 +78,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(capacity: int, last: bool):
-    """(fill, items) -> (done, sequence, fill, items)."""
+def _pack(capacity: int, first: bool, last: bool):
+    """(fill, items), or in the first round pieces, -> (done, sequence, fill, items)."""
 
     def close(sizes, items):
         part = TaskContext.get().partitionId()
@@ -95,7 +96,7 @@ def _pack(capacity: int, last: bool):
     def run(batches):
         close.number = 0
         sizes, items = [], []
-        for batch in batches:
+        for batch in _records(batches) if first else batches:
             sizes += batch.column(0).to_pylist()
             items += batch.column(1).to_pylist()
             if len(sizes) >= AT_ONCE:
@@ -134,13 +135,11 @@ def _unpack(batches):
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """(id, piece, start, length, crc) -> the same with sequence and offset."""
-    spark = pieces.sparkSession
     shape, done = "done boolean, sequence long, fill int, items binary", []
-    parts, left, number = None, pieces.mapInArrow(_records, "fill int, items binary"), 0
+    parts, left, number, last = None, pieces, 0, False
     while True:
         now = left.rdd.getNumPartitions() if parts is None else parts
-        last = parts == 1 or number >= 6
-        packed = stash(left.mapInArrow(_pack(capacity, last), shape), f"round{number}")
+        packed = stash(left.mapInArrow(lean(_pack(capacity, not number, last)), shape), f"round{number}")
         done.append(packed.where("done").select((F.col("sequence") + F.lit(number << 56)).alias("sequence"), "items"))
         if last:
             break
@@ -148,14 +147,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         if not under:
             break
         parts = max(1, -(-under // AT_ONCE), -(-now // FAN_IN))
-        if parts >= now > 1:  # nothing merges that did not meet before
-            number = 6
-        left = spark.createDataFrame([], "fill int, items binary") if not under else packed.where("not done").select("fill", "items").repartition(parts)
+        last = parts == 1 or parts >= now  # the last round deals anew what has not met, and ends all bins
+        left = packed.where("not done").select("fill", "items").repartition(parts)
         number += 1
     bins = done[0]
     for d in done[1:]:
         bins = bins.union(d)
-    return bins.mapInArrow(_unpack, "id long, piece int, start long, length long, crc long, sequence long, offset long")
+    return bins.mapInArrow(lean(_unpack), "id long, piece int, start long, length long, crc long, sequence long, offset long")
 
 
 def packed_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
