@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import stash
+from tessera.llm.scratch import drop, stash
 
 ROUNDS = 60
 
@@ -23,8 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         to = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = stash(least.join(to, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        done = moved.where("old <> label").limit(1).count() == 0
+        drop(labels)
+        if moved.where("old <> label").limit(1).count() == 0:
+            drop(both)
+            return moved.select("node", F.col("label").alias("component"))
         labels = moved.select("node", "label")
-        if done:
-            return labels.select("node", F.col("label").alias("component"))
+        labels.stashed = moved.stashed
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

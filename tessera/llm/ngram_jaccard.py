@@ -7,13 +7,15 @@
    by hash, so two linked sets agree on more than ``slack`` parts. A tile key is (band, part, what the
    part holds). Sets with more than ``slack`` empty parts also get keys for those; no link can be lost.
    A document near a band's edge also takes the next band's keys.
-3. Keys are shuffled packed, sorted per bucket; each task sends a key once and links its own further
-   holders to the first (a star), so a key that a third of the rows hold stays small.
-4. Star pairs: equal set names link at once; sizes and the bitmaps' Hamming distance bound the
-   overlap from above; what is left is decided by intersecting the sorted arrays.
-5. Components of these links. A tile whose holders are all in their lead's component has nothing left
-   to say. In the others all pairs across components are compared, blockwise, by bitmap, then by a
-   bitmap that grows with the set, and then exactly.
+3. A star. Each document's few smallest keys are shuffled packed and sorted per bucket; each task sends a key once
+   and links its own further holders to the first, so a key that a third of the rows hold stays small.
+4. Pairs: equal set names link at once; sizes and the bitmaps' Hamming distance bound the
+   overlap from above; what is left is decided by intersecting the sorted arrays. Components of these links.
+5. Torn tiles. All keys go with their component, once a task; a tile whose holders are in one component has nothing
+   left to say. In the others, holders are compared across components, blockwise, by bitmap. As long as that gives
+   links, each holder hands on only its nearest of another component, so that groups of near copies grow together and
+   their pairs are never listed; then every pair that is left is decided, by a bitmap that grows with the set
+   and then exactly.
 
 Edge cases: null and empty texts have an empty set and link with nothing; fewer than ``k`` words make
 one shingle; a row without an id has no component; rows that repeat an id share its component; extra
@@ -28,11 +30,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
 from tessera.llm.components import components
-from tessera.llm.scratch import partitions, stash
+from tessera.llm.scratch import drop, partitions, stash
+from tessera.llm.tasks import lean
 
 WORDS = 32  # 64-bit words of a bitmap
 TILE = 1024  # members of one side of a compared tile
-BROADCAST_IDS = 2_000_000  # up to so many counted ids (8 bytes each) are broadcast; more are shuffled
+EARLY = 6  # keys of a document in the star
+BROADCAST_IDS = 1_000_000  # up to so many counted ids (8 bytes each) are broadcast; more are shuffled
+BUCKET = 4 << 20  # bytes of keys that go to one bucket
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -120,8 +125,10 @@ def _features(k: int, percent: int):
                 r, key = np.concatenate([r1, r2]), np.concatenate([k1, k2])
                 key = key[np.argsort(r, kind="stable")]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))])
-                keys = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((8 * ends).astype(np.int64)), pa.py_buffer(key)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(bitmap[:, j])) for j in range(WORDS)), keys], ["id", "n", "s1", "s2", *(f"b{j}" for j in range(WORDS)), "keys"])
+                keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key.view(np.int64)))
+                columns = [batch.column(0)[a:b], pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64))]
+                columns += [pa.array(np.ascontiguousarray(bitmap[:, j])) for j in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([*columns, keys], ["id", "n", "s1", "s2", *(f"b{j}" for j in range(WORDS)), "keys"])
 
     return run
 
@@ -130,8 +137,27 @@ def _raw(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and how many each row has."""
+    per = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), per
+
+
+def _by_bucket(key: np.ndarray, other: np.ndarray, buckets: int):
+    """(bucket, keys, others), packed."""
+    where = (key >> np.uint64(11)) % np.uint64(buckets)
+    o = np.argsort(where, kind="stable")
+    cut = np.searchsorted(where[o], np.arange(buckets + 1, dtype=np.uint64))
+    return [(b, _raw(key[o[cut[b] : cut[b + 1]]]), _raw(other[o[cut[b] : cut[b + 1]]])) for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
+
+
+def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = (pa.int32(), *[pa.binary()] * (len(names) - 1))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 def _send(buckets: int):
-    """Packs (key, id) by bucket. A key's further holders in a batch, and copies of a whole set, are linked here to the first holder."""
+    """Packs (key, id) of each set's smallest keys by bucket. A key's further holders in a batch, and copies of a whole set, are linked here to the first holder."""
 
     def run(batches):
         turn = 0
@@ -143,47 +169,46 @@ def _send(buckets: int):
             head[1:] = np.any([x[1:] != x[:-1] for x in name], axis=0)
             lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
             copies, kept = order[~head], order[head]
-            raw, off = X.strings(batch.column(4))
-            per = np.diff(off)[kept] // 8
-            key = np.frombuffer(raw.tobytes(), np.uint64)[X.ranges(off[:-1][kept] // 8, per)]
-            doc = np.repeat(ids[kept], per)
+            key, per = _lists(batch.column(4))
+            first = np.cumsum(per) - per
+            key, per = key[X.ranges(first[kept], per[kept])], per[kept]
+            row = np.repeat(np.arange(len(kept)), per)
+            o = np.lexsort((key, row))
+            early = np.arange(len(o)) - np.repeat(np.cumsum(per) - per, per) < EARLY
+            key, doc = key[o[early]], ids[kept[row[o[early]]]]
             o = np.lexsort((doc, key))
             key, doc = key[o], doc[o]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            begin = np.flatnonzero(first)
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
             size = np.diff(np.append(begin, len(key)))
-            many = np.repeat(size > 1, size)
-            out = [(turn % buckets, b"", _raw(ids[copies]), _raw(ids[lead[~head]])), (turn % buckets, _raw(key[many]), _raw(doc[many]), _raw(np.repeat(doc[begin], size)[many]))]
-            key, doc = key[first], doc[first]
-            where = (key >> np.uint64(11)) % np.uint64(buckets)
-            o = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[o], np.arange(buckets + 1, dtype=np.uint64))
-            out += [(b, _raw(key[o[cut[b] : cut[b + 1]]]), _raw(doc[o[cut[b] : cut[b + 1]]]), None) for b in range(buckets) if cut[b] < cut[b + 1]]
+            led = np.repeat(doc[begin], size)
+            own = doc != led
+            out = [(turn % buckets, b"", _raw(ids[copies]), _raw(ids[lead[~head]])), (turn % buckets, _raw(key[own]), _raw(doc[own]), _raw(led[own]))]
+            out += [(*r, None) for r in _by_bucket(key[begin], doc[begin], buckets)]
             turn += 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[r for r in out if r[2]] or [(0, b"", b"", b"")], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "ids", "leads"])
+            out = [r for r in out if r[2]]
+            if out:
+                yield _packed(out, ["bucket", "keys", "ids", "leads"])
 
     return run
 
 
 def _meet(batches):
-    """Per bucket: every holder of a key that at least two hold, with the first; what was linked before passes. One row per (id, lead)."""
+    """Per bucket: every holder of a key that at least two hold, with the first, and on how many keys; what was linked before
+    passes, copies with 0."""
 
-    def rows(key, doc, lead):
+    def rows(doc, lead):
         o = np.lexsort((lead, doc))
-        key, doc, lead = key[o].view(np.int64), doc[o], lead[o]
-        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        keys = pa.ListArray.from_arrays(pa.array(np.append(begin, len(doc)).astype(np.int32)), pa.array(key))
-        return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(lead[begin]), keys], ["id", "lead", "keys"])
+        doc, lead = doc[o], lead[o]
+        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]))[: len(doc)])
+        return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(lead[begin]), pa.array(np.diff(np.append(begin, len(doc))))], ["id", "lead", "count"])
 
     def close(keys, docs):
         key, doc = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(docs), np.int64)
         o = np.lexsort((doc, key))
         key, doc = key[o], doc[o]
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(begin, len(key)))
-        many = np.repeat(size > 1, size)
-        return rows(key[many], doc[many], np.repeat(doc[begin], size)[many])
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        led = np.repeat(doc[begin], np.diff(np.append(begin, len(key))))
+        return rows(doc[doc != led], led[doc != led])
 
     now, keys, docs = None, [], []
     for batch in batches:
@@ -197,14 +222,54 @@ def _meet(batches):
                 keys.append(k)
                 docs.append(i)
             elif k:
-                yield rows(np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(lead, np.int64))
+                yield rows(np.frombuffer(i, np.int64), np.frombuffer(lead, np.int64))
             else:
                 doc = np.frombuffer(i, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.frombuffer(lead, np.int64)), pa.nulls(len(doc), pa.list_(pa.int64()))], ["id", "lead", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.frombuffer(lead, np.int64)), pa.array(np.zeros(len(doc), np.int64))], ["id", "lead", "count"])
     if keys:
         yield close(keys, docs)
 
 
+def _send_tiles(buckets: int):
+    """Packs (key, component) by bucket, each once a batch."""
+
+    def run(batches):
+        for batch in batches:
+            key, per = _lists(batch.column(1))
+            comp = np.repeat(batch.column(0).to_numpy(), per)
+            o = np.lexsort((comp, key))
+            key, comp = key[o], comp[o]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1]))[: len(key)]
+            if len(key):
+                yield _packed(_by_bucket(key[fresh], comp[fresh], buckets), ["bucket", "keys", "comps"])
+
+    return run
+
+
+def _torn(batches):
+    """Per bucket: the keys whose holders are in several components."""
+
+    def close(keys, comps):
+        key, comp = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(comps), np.int64)
+        o = np.lexsort((comp, key))
+        key, comp = key[o], comp[o]
+        apart = (key[1:] == key[:-1]) & (comp[1:] != comp[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(key[1:][apart]).view(np.int64))], ["key"])
+
+    now, keys, comps = None, [], []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            b, k, c = (x[at].as_py() for x in batch.columns)
+            if b != now:
+                if keys:
+                    yield close(keys, comps)
+                now, keys, comps = b, [], []
+            keys.append(k)
+            comps.append(c)
+    if keys:
+        yield close(keys, comps)
+
+
 def _wide_bitmap(s: np.ndarray) -> bytes:
     """A bitmap of a power of two of bits, four or more a shingle."""
     size = 1 << max(11, (4 * len(s)).bit_length())
@@ -260,13 +325,19 @@ def _exact(percent: int):
     return run
 
 
-def _tiles(percent: int):
-    """Rows sorted by (key, x, y): pairs of side x with side y from different components that bitmaps and sizes allow."""
+def _tiles(percent: int, nearest: bool):
+    """Rows sorted by (key, x, y): pairs of side x with side y from different components that bitmaps and sizes allow,
+    with their Hamming distance. ``nearest``: only the nearest for each row of the tile."""
+    far = np.int64(1 << 62)
+
+    def found(ids, p, q, ham):
+        return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(ham)], ["a", "b", "ham"])
 
     def pairs(key, side, ids, comp, n, bits):
         x, y = key[1], key[2]
         left = np.flatnonzero(side == x)
         right = left if x == y else np.flatnonzero(side == y)
+        best = np.full(len(right), far)  # distance and place of the nearest on the left
         for i in range(0, len(left), 64):
             p = left[i : i + 64]
             total = n[p][:, None] + n[right][None, :]
@@ -275,9 +346,21 @@ def _tiles(percent: int):
                 ham += np.bitwise_count((bits[j][p][:, None] ^ bits[j][right][None, :]).view(np.uint64))  # of a signed number it would count the magnitude's bits
             small = np.minimum(n[p][:, None], n[right][None, :])
             ok = (comp[p][:, None] != comp[right][None, :]) & (100 * small >= percent * (total - small)) & ((100 + percent) * ((total - ham) // 2) >= percent * total)
-            u, v = np.nonzero(ok)
-            a, b = ids[p[u]], ids[right[v]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if not nearest:
+                u, v = np.nonzero(ok)
+                yield found(ids, p[u], right[v], ham[u, v])
+                continue
+            if not ok.any():
+                continue
+            ham = np.where(ok, ham << 32, far)
+            at = np.argmin(ham, axis=1)
+            u = np.flatnonzero(ham[np.arange(len(p)), at] < far)
+            yield found(ids, p[u], right[at[u]], ham[u, at[u]] >> 32)
+            if x != y:
+                best = np.minimum(best, (ham + np.where(ok, p[:, None], 0)).min(axis=0))
+        v = np.flatnonzero(best < far)
+        if len(v):
+            yield found(ids, right[v], best[v] & 0xFFFFFFFF, best[v] >> 32)
 
     def run(batches):
         held = None
@@ -296,79 +379,106 @@ def _tiles(percent: int):
     return run
 
 
+def _among(table: DataFrame, listed: DataFrame, column: str = "id") -> DataFrame:
+    """The rows whose ``column`` is listed; a short list goes to the rows, or both are shuffled."""
+    listed = stash(listed.select(column).distinct(), "listed")
+    return table.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, column, "left_semi")
+
+
+def _decide(pairs: DataFrame, named: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) -> those that link."""
+    bit_cols = [f"b{j}" for j in range(WORDS)]
+
+    def of(table: DataFrame, asked: DataFrame) -> DataFrame:
+        return _among(table, asked.select(F.explode(F.array("a", "b")).alias("id"))).dropDuplicates(["id"])
+
+    small = stash(of(named.select("id", "n", "s1", "s2", *bit_cols), pairs), "small")
+    a, b = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
+    both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
+    total, less = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
+    ham = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bit_cols[1:]), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+    same = F.expr("n_a = n_b and s1_a = s1_b and s2_a = s2_b")
+    bound = (less * 100 >= (total - less) * percent) & (F.floor((total - ham) / 2) * (100 + percent) >= total * percent)
+    judged = stash(both.select("a", "b", same.alias("same"), bound.alias("may")).where("same or may"), "judged")
+    drop(small)
+    unsure = judged.where("not same").select("a", "b")
+    sets = stash(of(texts, unsure).mapInArrow(lean(_sets(k)), "id long, n long, wide binary, set binary"), "sets")
+    wide_a, wide_b = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
+    close = unsure.join(wide_a, "a").join(wide_b, "b").select("a", "b", "wide_a", "wide_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+    close = stash(close.mapInArrow(lean(_may(percent)), "a long, b long"), "close")
+    full = of(sets.select("id", "set"), close)
+    met = close.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    exact = met.select("a", "b", "x", "y").mapInArrow(lean(_exact(percent)), "a long, b long")
+    linked = stash(judged.where("same").select("a", "b").union(exact), "linked")
+    drop(judged, sets, close)
+    return linked
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(features: id, n, ...; groups: node, component) for the documents whose shingle sets link at ``percent`` Jaccard."""
+    """(sizes: id, n; groups: node, component) for the documents whose shingle sets link at ``percent`` Jaccard."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bit_cols = [f"b{j}" for j in range(WORDS)]
-    feats = stash(texts.mapInArrow(_features(k, percent), "id long, n long, s1 long, s2 long, " + ", ".join(f"{b} long" for b in bit_cols) + ", keys binary"), "features")
-    buckets = 8 * partitions(spark)  # partitions of some eight buckets differ less in size than of one or two
+    feats = stash(texts.mapInArrow(lean(_features(k, percent)), "id long, n long, s1 long, s2 long, " + ", ".join(f"{b} long" for b in bit_cols) + ", keys array<long>"), "features")
     named = feats.where("id is not null and n > 0")
-    sent = named.select("id", "s1", "s2", "n", "keys").mapInArrow(_send(buckets), "bucket int, keys binary, ids binary, leads binary").where("bucket is not null and length(ids) > 0")
-    entries = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "id long, lead long, keys array<long>"), "entries")
-    held = entries.where("keys is not null")
-
-    def among(table: DataFrame, ids: DataFrame) -> DataFrame:
-        """The rows whose id is listed; few ids go to the rows, or both are shuffled."""
-        ids = stash(ids.select("id").distinct(), "ids")
-        return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-
-    def sides(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
-
-    def decide(pairs: DataFrame) -> DataFrame:
-        """(a, b) -> those that link."""
-        small = among(named.select("id", "n", "s1", "s2", *bit_cols), sides(pairs)).dropDuplicates(["id"])
-        a, b = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
-        both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
-        total, less = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
-        ham = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bit_cols[1:]), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
-        same = F.expr("n_a = n_b and s1_a = s1_b and s2_a = s2_b")
-        bound = (less * 100 >= (total - less) * percent) & (F.floor((total - ham) / 2) * (100 + percent) >= total * percent)
-        judged = stash(both.select("a", "b", same.alias("same"), bound.alias("may")).where("same or may"), "judged")
-        unsure = judged.where("not same").select("a", "b")
-        sets = stash(among(texts, sides(unsure)).dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, n long, wide binary, set binary"), "sets")
-        wide_a, wide_b = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
-        close = unsure.join(wide_a, "a").join(wide_b, "b").select("a", "b", "wide_a", "wide_b", (F.col("n_a") + F.col("n_b")).alias("total"))
-        close = stash(close.mapInArrow(_may(percent), "a long, b long"), "close")
-        full = among(sets.select("id", "set"), sides(close))
-        met = close.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        exact = met.select("a", "b", "x", "y").mapInArrow(_exact(percent), "a long, b long")
-        return stash(judged.where("same").select("a", "b").union(exact), "linked")
-
-    copies = entries.where("keys is null").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    # two leads an id are enough to bring groups together; what they miss shows up as a torn tile below
-    shared = stash(held.where("id <> lead").groupBy("id", "lead").agg(F.sum(F.size("keys")).alias("count")), "shared")
-    leads = shared.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
+    held = named.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    buckets = max(2 * partitions(spark), -(-8 * held // BUCKET))
+    sent = named.select("id", "s1", "s2", "n", "keys").mapInArrow(lean(_send(buckets)), "bucket int, keys binary, ids binary, leads binary")
+    met = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_meet), "id long, lead long, count long"), "met")
+
+    # copies inside a batch are linked already; the first of each batch meet those of the others here, one row a batch and set
+    copies = met.where("count = 0").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    heads = named.select("id", "n", "s1", "s2").join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    lone = stash(heads.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("holders")), "lone")
+    equal = heads.join(lone.where("holders > 1"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # two leads an id bring most of a group together; what they miss shows up as a torn tile
+    leads = met.where("count > 0").groupBy("id", "lead").agg(F.sum("count").alias("count")).groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
     star = stash(leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "star")
-    lone = stash(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("holders")), "lone")
-    equal = named.join(lone.where("holders > 1"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stash(decide(star).union(copies).union(equal).distinct(), "all")
-    groups = stash(components(links), "groups")
-
-    # a tile is torn where a holder and its lead are in different components
-    own, led = (groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")) for c in ("id", "lead"))
-    apart = shared.join(own, "id", "left").join(led, "lead", "left").where(F.coalesce("id_comp", "id") != F.coalesce("lead_comp", "lead")).select("id", "lead")
-    torn = stash(held.join(apart, ["id", "lead"], "left_semi").select(F.explode("keys").alias("key")).distinct(), "torn")
-    if torn.limit(1).count():
-        member = held.select(F.explode("keys").alias("key"), "id").join(torn, "key", "left_semi").distinct()
-        member = stash(member.join(own, "id", "left").select("key", "id", F.coalesce("id_comp", "id").alias("comp")), "members")
-        tile = member.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).groupBy("who", "size").agg(F.min("key").alias("key"))
-        side = member.join(tile.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-        other = stash(side.join(lone.select(F.col("rep").alias("id")), "id", "left_semi"), "sides")  # equal sets are compared once
-        small = among(named.select("id", "n", *bit_cols), other).dropDuplicates(["id"])
-        other = other.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        dealt = other.join(small, "id").select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side", "id", "comp", "n", *bit_cols)
-        cross = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tiles(percent), "a long, b long").distinct()
-        more = decide(stash(cross, "cross"))
-        groups = components(links.union(more))
-    return feats, groups
+    linked = _decide(star, named, texts, k, percent)
+    groups = components(linked.union(copies).union(equal))
+    drop(star, linked, met)
+
+    # equal sets are compared once, so the first of each stands for all in tiles
+    own = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    first = named.select("id", "keys").join(lone.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    keyed = stash(first.join(own, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "keys", "id"), "keyed")
+    sent = keyed.select("comp", "keys").mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, comps binary")
+    torn = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "key long"), "torn")
+    member = stash(_among(keyed.select("id", F.explode("keys").alias("key")), torn, "key").distinct(), "members")
+    drop(lone, keyed, torn)
+    small = stash(_among(named.select("id", "n", *bit_cols), member).dropDuplicates(["id"]), "small")
+    nearest = True
+    while True:
+        own = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+        at = member.join(own, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        tile = at.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        tile = tile.groupBy("who", "size").agg(F.min("key").alias("key"))  # tiles with the same holders are compared once
+        side = at.join(tile.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+        dealt = side.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).join(small, "id")
+        dealt = dealt.select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side", "id", "comp", "n", *bit_cols)
+        found = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(_tiles(percent, nearest)), "a long, b long, ham long")
+        if nearest:
+            found = found.groupBy("a").agg(F.min_by("b", F.struct("ham", "b")).alias("b"))
+        cross = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+        if not cross.limit(1).count():
+            break  # no pair is left
+        more = _decide(cross, named, texts, k, percent)
+        linked = more.limit(1).count() > 0
+        if linked:
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        drop(cross, more)
+        if not nearest:
+            break
+        nearest = linked
+    sizes = stash(feats.select("id", "n"), "sizes")
+    drop(feats, member, small)
+    return sizes, groups
 
 
 def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
-    feats, groups = jaccard_links(docs, id_col, text_col, k, percent)
-    own = feats.select("id", F.col("n").alias("n_shingles"))
+    sizes, groups = jaccard_links(docs, id_col, text_col, k, percent)
+    own = sizes.select("id", F.col("n").alias("n_shingles"))
     return own.join(groups.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
