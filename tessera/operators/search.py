@@ -122,15 +122,6 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, by: Sequence[s
     return won.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hash_embed(docs: DataFrame, tokens: Column, id_col: str = "doc_id", dims: int = 384) -> DataFrame:
-    """(id, bucket, weight): a deterministic sparse embedding. A lower-cased token's MD5 picks the bucket; counts are L2-normalised."""
-    exploded = docs.select(id_col, F.explode(tokens).alias("__t"))
-    bucket = (F.conv(F.substring(F.md5(F.lower("__t").cast("binary")), 1, 8), 16, 10).cast("long") % dims).alias("bucket")
-    counts = exploded.select(id_col, bucket).groupBy(id_col, "bucket").count()
-    total = F.sqrt(F.sum(F.col("count") * F.col("count")).over(Window.partitionBy(id_col)).cast("double"))
-    return counts.select(id_col, "bucket", F.round(F.col("count") / total, 6).alias("weight"))
-
-
 def citations(top: DataFrame, files: DataFrame) -> DataFrame:
     """Adds the file's name after the top-k, so that only its rows meet the file table."""
     return top.join(files.select("file_id", "filename"), "file_id")

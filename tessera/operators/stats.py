@@ -60,3 +60,55 @@ def run_metrics(runs: DataFrame) -> DataFrame:
 def latest_run(runs: DataFrame, n: int = 1) -> DataFrame:
     w = Window.partitionBy("tenant_slug").orderBy(F.desc("started_at"), F.desc("run_id"))
     return runs.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+
+
+def status_lists(files: DataFrame) -> DataFrame:
+    """Per tenant the sorted names of its files by status, empty lists where there are none."""
+    wanted = ("pending", "processing", "synced", "failed")
+    names = lambda s: F.sort_array(F.collect_list(F.when(F.col("sync_status") == s, F.col("filename")))).alias(s)
+    return files.groupBy("tenant_slug").agg(*(names(s) for s in wanted))
+
+
+def tenant_summary(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per tenant: files, chunks and a map of files by status. Chunks are counted before they meet the files."""
+    per = files.groupBy("tenant_slug", "sync_status").count().groupBy("tenant_slug").agg(F.sum("count").alias("total_files"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("sync_status", "count")))).alias("status_breakdown"))
+    held = chunks.groupBy("tenant_slug").agg(F.count("*").alias("total_chunks"))
+    return per.join(held, "tenant_slug", "left").withColumn("total_chunks", F.coalesce("total_chunks", F.lit(0).cast("long")))
+
+
+def most_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Tenants with their chunks, most first; those without chunks too."""
+    held = chunks.groupBy("tenant_slug").agg(F.count("*").alias("n_chunks"))
+    slugs = files.select("tenant_slug").distinct()
+    return slugs.join(held, "tenant_slug", "left").select("tenant_slug", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks")).orderBy(F.desc("n_chunks"), "tenant_slug")
+
+
+def busy_files(files: DataFrame) -> DataFrame:
+    """Per tenant the files that are being processed, and if there are any."""
+    busy = F.col("sync_status") == "processing"
+    return files.groupBy("tenant_slug").agg(F.sort_array(F.collect_list(F.when(busy, F.col("filename")))).alias("currently_processing"), F.bool_or(busy).alias("is_syncing"))
+
+
+def recent_confidence(scores: DataFrame, by: str, at: str, score: str, n: int = 5) -> DataFrame:
+    """Per group the mean of the last ``n`` scores, as a whole percentage."""
+    w = Window.partitionBy(by).orderBy(F.desc(at), F.desc(score))
+    last = scores.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= n)
+    return last.groupBy(by).agg(F.round(100 * F.avg(score)).cast("long").alias("percent"))
+
+
+def batch_size(texts: DataFrame, by: str, text_col: str = "text") -> DataFrame:
+    """Per group the mean length of its texts and the batch size that suits an embedder: long texts in small batches."""
+    mean = F.avg(F.length(text_col))
+    return texts.groupBy(by).agg(F.round(mean, 4).alias("avg_chars"), F.when(mean > 1000, 8).when(mean > 500, 16).otherwise(32).alias("batch_size"))
+
+
+def run_report(runs: DataFrame, by: str = "tenant_slug") -> DataFrame:
+    """One row over all groups: runs, the share that completed, the mean duration, and the group with the longest run."""
+    ok = F.count_if(F.col("status") == "completed")
+    return runs.agg(F.count("*").alias("n_runs"), ok.alias("n_completed"), F.round(100 * ok / F.greatest(F.count("*"), F.lit(1)), 6).alias("success_rate"), F.round(F.avg("duration"), 4).alias("avg_duration"), F.max_by(by, F.struct("duration", by)).alias("slowest"))
+
+
+def error_types(runs: DataFrame, error: str) -> DataFrame:
+    """How often each error came up, per tenant, as a map."""
+    counts = runs.where(F.col(error).isNotNull()).groupBy("tenant_slug", error).count()
+    return counts.groupBy("tenant_slug").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(error, "count")))).alias("error_types"), F.sum("count").alias("n_errors"))

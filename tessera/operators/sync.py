@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip
+from tessera.operators.chunk import ChunkConfig, chunk
+from tessera.operators.embed import embed
+
 KEY = ["tenant_slug", "file_path"]
 STATUSES = ("pending", "processing", "synced", "failed", "deleted")
 RETRIED = ("pending", "processing", "failed")
@@ -26,6 +32,20 @@ def summary(planned: DataFrame) -> DataFrame:
     return planned.groupBy("change").agg(F.count("*").alias("n_files"), F.min("file_path").alias("first_path"), F.max("file_path").alias("last_path"))
 
 
+def name_lists(planned: DataFrame) -> DataFrame:
+    """Per kind of change the number of files and their sorted paths; the lists are as long as the plan."""
+    return planned.groupBy("change").agg(F.count("*").alias("n_files"), F.sort_array(F.collect_list("file_path")).alias("paths"))
+
+
+def preview(planned: DataFrame, most: int = 10) -> DataFrame:
+    """Per kind of change its first paths and how many more there are, without listing the rest."""
+    nth = F.row_number().over(Window.partitionBy("change").orderBy("file_path", "tenant_slug"))
+    first = planned.select("change", "file_path", nth.alias("nth")).where(F.col("nth") <= most)
+    shown = first.groupBy("change").agg(F.sort_array(F.collect_list("file_path")).alias("paths"))
+    total = planned.groupBy("change").agg(F.count("*").alias("n_files"))
+    return total.join(shown, "change").select("change", "n_files", "paths", (F.col("n_files") - F.size("paths")).alias("n_more"))
+
+
 def apply(planned: DataFrame, registry: DataFrame) -> DataFrame:
     """The registry after the plan: deleted rows go, new and updated rows are processing with their new hash and size."""
     touched = planned.where(F.col("change").isin("new", "updated")).select(*KEY, F.col("new_hash").alias("file_hash"), F.col("new_size").alias("file_size"), F.lit("processing").alias("sync_status"))
@@ -47,8 +67,57 @@ def orphans(chunks: DataFrame, files: DataFrame, key: str = "file_id") -> DataFr
     return chunks.join(files.select(key), key, "left_anti")
 
 
-def without_orphans(chunks: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
-    return chunks.join(files.select(key).distinct(), key, "left_semi")
+def without_orphans(chunks: DataFrame, files: DataFrame, key: str = "file_id", tenant: str | None = None) -> DataFrame:
+    """Chunks that have a file. With ``tenant`` only that tenant's orphans go."""
+    if tenant is None:
+        return chunks.join(files.select(key).distinct(), key, "left_semi")
+    gone = orphans(chunks.where(F.col("tenant_slug") == tenant), files, key).select(key).distinct()
+    return chunks.join(gone.withColumn("tenant_slug", F.lit(tenant)), [key, "tenant_slug"], "left_anti").select(*chunks.columns)
+
+
+class Synced(NamedTuple):
+    """What a sync leaves: the registry, all chunks, and one row per changed file with its outcome."""
+
+    registry: DataFrame
+    chunks: DataFrame
+    outcomes: DataFrame
+
+
+def sync(snapshot: DataFrame, registry: DataFrame, chunks: DataFrame, config: ChunkConfig | None = None, force: bool = False, retry: bool = True) -> Synced:
+    """Carries a plan out: changed files are chunked and embedded, their chunks replace the old ones, deleted files and their
+    chunks go.
+
+    snapshot: tenant_slug, file_path, file_hash, file_size, text; chunks: tenant_slug, file_path, chunk_index, content,
+    token_count, embedding. A file without bytes or without text ends as failed with its reason, and its old chunks go
+    too; a good one ends as synced without an error. Nothing is written: the caller stores the three tables as one snapshot."""
+    config = config or ChunkConfig()
+    planned = plan(snapshot, registry, force, retry)
+    changed = planned.where(F.col("change").isin("new", "updated")).select(*KEY, "change")
+    texts = snapshot.join(changed, KEY, "left_semi").select(*KEY, F.coalesce("text", F.lit("")).alias("text")).where(F.length(strip(F.col("text"))) >= 10)
+    pieces = chunk(texts, config.strategy, **({"size": config.size} if config.strategy == "semantic" else {"size": config.size, "overlap": config.overlap}))
+    if config.max_chunks is not None:
+        pieces = pieces.where(F.col("chunk_index") < config.max_chunks)
+    fresh = embed(pieces.select(*KEY, "chunk_index", "content", "token_count"), config.model)
+    per = pieces.groupBy(*KEY).agg(F.count("*").alias("n_chunks"))
+    zero = F.lit(0).cast("long")
+    done = changed.join(snapshot.select(*KEY, "file_hash", "file_size"), KEY).join(per, KEY, "left").withColumn("n_chunks", F.coalesce("n_chunks", zero))
+    ok = F.col("n_chunks") > 0
+    error = F.when(~ok, F.when(F.col("file_size") == 0, "empty").otherwise("no text"))
+    done = done.withColumns({"sync_status": F.when(ok, "synced").otherwise("failed"), "sync_error": error})
+    rest = registry.join(planned.where("change <> 'unchanged'").select(*KEY), KEY, "left_anti")
+    if "sync_error" not in rest.columns:
+        rest = rest.withColumn("sync_error", F.lit(None).cast("string"))
+    columns = [*KEY, "file_hash", "file_size", "sync_status", "sync_error"]
+    kept = chunks.join(planned.where("change <> 'unchanged'").select(*KEY), KEY, "left_anti")
+    return Synced(rest.select(*columns).unionByName(done.select(*columns)), kept.unionByName(fresh), done.select(*KEY, "change", "n_chunks", "sync_status", "sync_error"))
+
+
+def outcome_summary(outcomes: DataFrame) -> DataFrame:
+    """One row: files processed, synced and failed, chunks made, and how often each error came up."""
+    errors = outcomes.where("sync_error is not null").groupBy("sync_error").count()
+    histogram = errors.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sync_error", "count")))).alias("errors"))
+    counts = outcomes.agg(F.count("*").alias("n_files"), F.count_if(F.col("sync_status") == "synced").alias("n_synced"), F.count_if(F.col("sync_status") == "failed").alias("n_failed"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"))
+    return counts.join(F.broadcast(histogram))  # one row each
 
 
 def set_status(files: DataFrame, condition, status: str, error: str | None = None) -> DataFrame:
@@ -64,8 +133,8 @@ def reset_failed(files: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keyed merge: a new row's values win where they are not null."""
-    n = new.select(*(F.col(c).alias(f"__{c}") for c in new.columns))
+    """Keyed merge: a new row's values win where they are not null; a new row without a key is left out."""
+    n = new.where(F.col(key).isNotNull()).select(*(F.col(c).alias(f"__{c}") for c in new.columns))
     merged = old.join(n, F.col(key) == F.col(f"__{key}"), "full_outer")
     return merged.select(*(F.coalesce(f"__{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns))
 

@@ -30,9 +30,25 @@ def authenticate(tenants: DataFrame, key: str | None) -> TenantView:
 
 
 def key_of(header_key: Column, authorization: Column) -> Column:
-    return F.coalesce(header_key, F.when(authorization.startswith("Bearer "), F.substring(authorization, 8, 1 << 20)))
+    return F.coalesce(header_key, F.when(authorization.startswith("Bearer "), authorization.substr(F.lit(8), F.length(authorization))))
 
 
 def require_admin(view: TenantView) -> None:
     if view.slug != "admin":
         raise PermissionError("admin only")
+
+
+def present(files: DataFrame) -> DataFrame:
+    """Rows that are not marked as deleted."""
+    return files.where(F.col("deleted_at").isNull())
+
+
+def first_ordinary(tenants: DataFrame) -> DataFrame:
+    """The first tenant, by slug, that is no admin."""
+    return tenants.where((F.col("slug") != "admin") & (F.col("name") != "admin")).orderBy("slug").limit(1)
+
+
+def key_by_slug(tenants: DataFrame, slug: str, *fallbacks: str | None) -> str | None:
+    """An active tenant's key, or the first fallback that is not empty."""
+    found = tenants.where((F.col("slug") == slug) & F.col("is_active")).select("api_key").limit(1).collect()
+    return next((k for k in ([found[0]["api_key"]] if found else []) + list(fallbacks) if k), None)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vector as V
 from tessera.operators import chunk as C
+from tessera.operators import embed as E
+from tessera.operators import retrieve as R
 from tessera.operators import search as S
 from tessera.operators import stats as A
 from tessera.operators import sync as Y
@@ -97,6 +99,12 @@ def chunk_simple(s, d):
     return C.chunk_simple(_documents(s, d).select("doc_id", "text")).select("doc_id", "chunk_index", "token_count", "chunk_hash")
 
 
+@query("SELECT file_id AS doc_id, chunk_index, token_count, sha256(content) AS chunk_hash FROM chunks WHERE chunk_index < 3")
+def chunk_capped(s, d):
+    """The cap of an embedding step as an explicit choice."""
+    return C.chunk_simple(_documents(s, d).select("doc_id", "text"), max_chunks=3).select("doc_id", "chunk_index", "token_count", "chunk_hash")
+
+
 _FIXED = """, fixed AS (SELECT doc_id, w, unnest(CASE WHEN len(w) > 512 THEN range(0, len(w) - {o}, {p}) ELSE [0] END) AS s FROM worded WHERE len(w) > 0),
 f2 AS (SELECT doc_id, CAST(s // {p} AS INTEGER) AS chunk_index, array_to_string(w[s + 1:s + 512], ' ') AS content, CAST(length(array_to_string(w[1:s], ' ')) AS BIGINT) AS start_char,
 CAST(least(len(w) - s, 512) AS BIGINT) AS token_count FROM fixed)
@@ -294,7 +302,7 @@ def knn_batch_tenant_hundredth(s, d):
 @query("""SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM
 (SELECT doc_id, CAST(('0x' || substr(md5(lower(x)), 1, 8)) AS BIGINT) % 384 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(w) AS x FROM worded) GROUP BY 1, 2)""")
 def hash_embed(s, d):
-    return S.hash_embed(_documents(s, d).select("doc_id", "text"), X.words(F.col("text")))
+    return E.hash_embed(_documents(s, d).select("doc_id", "text"), X.words(F.col("text")))
 
 
 # answers
@@ -403,3 +411,158 @@ def event_windows(s, d):
 @query("SELECT doc_id, round(CAST(strlen(text) AS DOUBLE) / 1048576, 1) AS mb, '[' || array_to_string([doc_id, n_chars], ',') || ']' AS pair FROM documents", False)
 def size_and_literal(s, d):
     return _documents(s, d).select("doc_id", X.megabytes(F.octet_length("text")).alias("mb"), V.text_form(F.array("doc_id", "n_chars")).alias("pair"))
+
+
+# from a question to an answer
+
+#: Questions are the benchmark's items; each is asked of the tenant that its number names.
+_ASKED = """, asked AS (SELECT item_id AS query_id, text AS query, 'src' || item_id % 20 AS tenant_slug FROM benchmark WHERE text IS NOT NULL),
+cw AS (SELECT file_id || ':' || chunk_index AS chunk_id, tenant_slug, lower(x) AS x FROM (SELECT file_id, chunk_index, tenant_slug, unnest(string_split_regex(content, '\\s+')) AS x FROM chunks) WHERE x <> ''),
+qw AS (SELECT query_id, tenant_slug, lower(x) AS x FROM (SELECT query_id, tenant_slug, unnest(string_split_regex(query, '\\s+')) AS x FROM asked) WHERE x <> ''),
+cv AS (SELECT chunk_id, tenant_slug, CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT) % 384 AS b, CAST(count(*) AS DOUBLE) AS n FROM cw GROUP BY ALL),
+qv AS (SELECT query_id, tenant_slug, CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT) % 384 AS b, CAST(count(*) AS DOUBLE) AS n FROM qw GROUP BY ALL),
+cn AS (SELECT chunk_id, tenant_slug, sqrt(sum(n * n)) AS norm FROM cv GROUP BY ALL), qn AS (SELECT query_id, tenant_slug, sqrt(sum(n * n)) AS norm FROM qv GROUP BY ALL),
+dots AS (SELECT query_id, chunk_id, sum(qv.n * cv.n) AS dot FROM qv JOIN cv ON qv.b = cv.b AND qv.tenant_slug = cv.tenant_slug GROUP BY ALL),
+near AS (SELECT qn.query_id, cn.chunk_id, round(1 - coalesce(dot, 0) / (qn.norm * cn.norm), 6) + 0.0 AS distance FROM qn JOIN cn USING (tenant_slug) LEFT JOIN dots ON dots.query_id = qn.query_id AND dots.chunk_id = cn.chunk_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM near QUALIFY rank <= {k}),
+hits AS (SELECT query_id, rank, distance, chunk_id, c.file_id, c.chunk_index, content, token_count, filename FROM ranked JOIN chunks c ON chunk_id = c.file_id || ':' || c.chunk_index JOIN files f ON f.file_id = c.file_id)"""
+
+
+def _asked(s, d):
+    b = T.table(s, d, "benchmark").where("text is not null")
+    q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("tenant_slug"))
+    return E.embed(q, text_col="query", vector_col="query_vector", double=True)
+
+
+def _found(s, d, k=5, threshold=None):
+    vectors = E.embed(T.chunks(s, d).drop("chunk_hash"), double=True)
+    return R.search_batch(vectors, _asked(s, d).drop("query"), T.files(s, d), R.SearchConfig(k=k, threshold=threshold))
+
+
+@query(_ASKED.format(k=5) + """ SELECT query_id, rank, chunk_id, file_id, filename, chunk_index, sha256(content) AS content_hash, token_count, round(greatest(0.0, least(1.0, 1 - distance)), 6) AS score,
+'{"filename":"' || filename || '","chunk_index":"' || chunk_index || '"}' AS metadata FROM hits""")
+def semantic_search(s, d):
+    """Every question against its tenant's chunks, with full citations."""
+    return _found(s, d).withColumns({"content_hash": X.sha256(F.col("content")), "metadata": F.to_json("metadata")}).drop("content")
+
+
+@query(_ASKED.format(k=5) + " SELECT query_id, rank, chunk_id, round(1 - distance, 6) AS score FROM hits WHERE 1 - distance >= 0.5")
+def semantic_search_threshold(s, d):
+    return _found(s, d, threshold=0.5).select("query_id", "rank", "chunk_id", "score")
+
+
+@query(_ASKED.format(k=5) + """ SELECT a.query_id, CASE WHEN count(h.query_id) > 0 THEN 'Based on the documents: ' || string_agg(substr(content, 1, 200) || '...', ' ' ORDER BY rank) ELSE 'No relevant information found in the documents.' END AS answer,
+count(h.query_id) AS n_sources, CASE WHEN count(h.query_id) > 0 THEN 0.8 ELSE CAST(0 AS DOUBLE) END AS confidence, 'extractive' AS method FROM asked a LEFT JOIN hits h ON h.query_id = a.query_id AND rank <= 3 AND 1 - distance >= 0.6 GROUP BY a.query_id""")
+def rag_answer(s, d):
+    """Questions without a source over the threshold get the fallback answer."""
+    return R.answers(_asked(s, d), _found(s, d, threshold=0.6))
+
+
+@query(_ASKED.format(k=5) + " SELECT query_id, to_json(list_sort(list(DISTINCT filename))) AS filenames, count(DISTINCT filename) AS n_files FROM hits GROUP BY query_id")
+def source_names(s, d):
+    return R.source_names(_found(s, d)).withColumn("filenames", F.to_json("filenames"))
+
+
+@query(_ASKED.format(k=5) + """ SELECT query_id, count(*) AS n_first, count(*) FILTER (WHERE rank <= 3) AS n_second, count(*) FILTER (WHERE rank <= 3) AS n_both,
+round(CAST(count(*) FILTER (WHERE rank <= 3) AS DOUBLE) / count(*), 6) AS overlap FROM hits GROUP BY query_id""")
+def run_overlap(s, d):
+    return R.run_overlap(_found(s, d), _found(s, d, 3))
+
+
+# lists, summaries and formats
+
+
+@query("SELECT change, count(*) AS n_files, to_json(list(file_path ORDER BY file_path)) AS paths FROM plan GROUP BY change")
+def plan_lists(s, d):
+    return Y.name_lists(delta_plan(s, d)).withColumn("paths", F.to_json("paths"))
+
+
+@query("""SELECT change, any_value(n) AS n_files, to_json(list(file_path ORDER BY file_path)) AS paths, any_value(n) - count(*) AS n_more
+FROM (SELECT *, count(*) OVER (PARTITION BY change) AS n, row_number() OVER (PARTITION BY change ORDER BY file_path, tenant_slug) AS nth FROM plan) WHERE nth <= 10 GROUP BY change""")
+def change_preview(s, d):
+    return Y.preview(delta_plan(s, d)).withColumn("paths", F.to_json("paths"))
+
+
+def _json_list(status: str) -> str:
+    return f"coalesce(to_json(list(filename ORDER BY filename) FILTER (WHERE sync_status = '{status}')), '[]') AS {status}"
+
+
+@query(f"SELECT tenant_slug, {', '.join(map(_json_list, ('pending', 'processing', 'synced', 'failed')))} FROM files GROUP BY tenant_slug")
+def status_lists(s, d):
+    out = A.status_lists(T.files(s, d))
+    return out.select("tenant_slug", *(F.to_json(c).alias(c) for c in out.columns[1:]))
+
+
+@query("""SELECT tenant_slug, total_files, total_chunks, '{' || string_agg('"' || sync_status || '":' || n, ',' ORDER BY sync_status) || '}' AS status_breakdown FROM
+(SELECT tenant_slug, sync_status, count(*) AS n FROM files GROUP BY ALL) JOIN (SELECT tenant_slug, count(*) AS total_files FROM files GROUP BY ALL) USING (tenant_slug)
+JOIN (SELECT f.tenant_slug, count(c.file_id) AS total_chunks FROM files f LEFT JOIN chunks c USING (file_id) GROUP BY ALL) USING (tenant_slug) GROUP BY ALL""")
+def tenant_summary(s, d):
+    return A.tenant_summary(T.files(s, d), T.chunks(s, d)).withColumn("status_breakdown", F.to_json("status_breakdown"))
+
+
+@query("SELECT f.tenant_slug, count(c.file_id) AS n_chunks FROM files f LEFT JOIN chunks c USING (file_id) GROUP BY ALL")
+def tenants_by_chunks(s, d):
+    return A.most_chunks(T.chunks(s, d), T.files(s, d))
+
+
+@query("SELECT tenant_slug, coalesce(to_json(list(filename ORDER BY filename) FILTER (WHERE sync_status = 'processing')), '[]') AS currently_processing, bool_or(sync_status = 'processing') AS is_syncing FROM files GROUP BY tenant_slug")
+def sync_status(s, d):
+    return A.busy_files(T.files(s, d)).withColumn("currently_processing", F.to_json("currently_processing"))
+
+
+@query("""SELECT event_type AS tenant, CAST(round(100 * avg(value / 1000)) AS BIGINT) AS percent FROM
+(SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value / 1000 DESC) AS nth FROM events) WHERE nth <= 5 GROUP BY event_type""", False)
+def recent_confidence(s, d):
+    e = T.table(s, d, "events").select(F.col("event_type").alias("tenant"), "ts", (F.col("value") / 1000).alias("confidence"))
+    return A.recent_confidence(e, "tenant", "ts", "confidence")
+
+
+@query("SELECT source, round(avg(length(text)), 4) AS avg_chars, CASE WHEN avg(length(text)) > 1000 THEN 8 WHEN avg(length(text)) > 500 THEN 16 ELSE 32 END AS batch_size FROM documents GROUP BY source", False)
+def batch_sizes(s, d):
+    return A.batch_size(_documents(s, d), "source")
+
+
+@query("SELECT count(*) AS n_runs, count(*) FILTER (WHERE status = 'completed') AS n_completed, round(100 * (count(*) FILTER (WHERE status = 'completed')) / greatest(count(*), 1), 6) AS success_rate, round(avg(duration), 4) AS avg_duration, arg_max(tenant_slug, struct_pack(d := duration, t := tenant_slug)) AS slowest FROM runs")
+def run_report(s, d):
+    return A.run_report(T.runs(s, d))
+
+
+@query("""SELECT tenant_slug, '{' || string_agg('"' || error || '":' || n, ',' ORDER BY error) || '}' AS error_types, CAST(sum(n) AS BIGINT) AS n_errors FROM
+(SELECT tenant_slug, CASE run_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'no text' ELSE 'empty' END AS error, count(*) AS n FROM runs WHERE status = 'failed' GROUP BY ALL) GROUP BY tenant_slug""")
+def error_types(s, d):
+    error = F.when(F.col("run_id") % 3 == 0, "timeout").when(F.col("run_id") % 3 == 1, "no text").otherwise("empty")
+    return A.error_types(T.runs(s, d).withColumn("error", F.when(F.col("status") == "failed", error)), "error").withColumn("error_types", F.to_json("error_types"))
+
+
+@query("SELECT file_id, CASE sync_status WHEN 'synced' THEN '✅' WHEN 'pending' THEN '⏳' WHEN 'processing' THEN '🔄' WHEN 'failed' THEN '❌' ELSE '❓' END AS mark, replace(sync_status || '_files', '_', ' ') AS label FROM files")
+def status_marks(s, d):
+    return T.files(s, d).select("file_id", X.status_mark(F.col("sync_status")).alias("mark"), X.spaced(F.concat("sync_status", F.lit("_files"))).alias("label"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS at, printf('%.2f', round(value, 2)) AS shown FROM events", False)
+def iso_times(s, d):
+    return T.table(s, d, "events").select("event_id", X.iso(F.col("ts")).alias("at"), F.format_string("%.2f", F.round(F.col("value"), 2)).alias("shown"))
+
+
+@query("SELECT file_id, tenant_slug FROM files WHERE sync_status <> 'failed'")
+def not_deleted(s, d):
+    """Failed files stand for those with a time of deletion."""
+    marked = T.files(s, d).withColumn("deleted_at", F.when(F.col("sync_status") == "failed", F.lit("2024-01-01").cast("timestamp")))
+    return N.present(marked).select("file_id", "tenant_slug")
+
+
+@query("SELECT f.file_id, f.tenant_slug, substr(api_key, 1, 8) AS key_start, sync_status FROM files f JOIN tenants t ON slug = tenant_slug ORDER BY file_size DESC, file_id LIMIT 10")
+def recent_files_tenants(s, d):
+    """The first ten of an order, then their tenants: the join sees ten rows."""
+    top = T.files(s, d).where("tenant_slug is not null").orderBy(F.desc("file_size"), "file_id").limit(10)
+    return top.join(T.tenants(s, d), F.col("slug") == F.col("tenant_slug")).select("file_id", "tenant_slug", F.substring("api_key", 1, 8).alias("key_start"), "sync_status")
+
+
+@query("""SELECT a.tenant_slug AS a, b.tenant_slug AS b, len(list_intersect(a.l, b.l)) AS n_both, len(list_filter(a.l, lambda x: NOT list_contains(b.l, x))) AS n_only_a FROM
+(SELECT tenant_slug, list(DISTINCT lang) AS l FROM (SELECT source AS tenant_slug, lang FROM documents) GROUP BY 1) a JOIN (SELECT tenant_slug, list(DISTINCT lang) AS l FROM (SELECT source AS tenant_slug, lang FROM documents) GROUP BY 1) b ON a.tenant_slug = '$SLUG' AND b.tenant_slug <> a.tenant_slug""")
+def tenant_sets(s, d):
+    """One tenant's set of languages beside every other's."""
+    sets = _documents(s, d).where("source is not null and lang is not null").groupBy(F.col("source").alias("tenant_slug")).agg(F.collect_set("lang").alias("langs"))
+    own = sets.where(F.col("tenant_slug") == SLUG).select(F.col("tenant_slug").alias("a"), F.col("langs").alias("own"))
+    others = sets.where(F.col("tenant_slug") != SLUG)
+    return others.join(F.broadcast(own)).select("a", F.col("tenant_slug").alias("b"), F.size(F.array_intersect("own", "langs")).cast("long").alias("n_both"), F.size(F.array_except("own", "langs")).cast("long").alias("n_only_a"))  # own: one row

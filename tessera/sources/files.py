@@ -40,15 +40,37 @@ def snapshot(spark: SparkSession, root: str, with_text: bool = False) -> DataFra
     return joined.select(*files.columns, hashed.alias("file_hash"), *([F.coalesce("text", F.lit("")).alias("text")] if with_text else []))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def keys_json(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, api_key, description) from a JSON object keyed by slug."""
+    """(slug, api_key, description) from a JSON object keyed by slug; no rows where the file is missing or no such object."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "slug string, api_key string, description string")
     shape = "map<string, struct<api_key: string, slug: string, description: string>>"
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", shape)).alias("slug", "v")).select("slug", "v.api_key", "v.description")
 
 
+def write_keys_json(tenants: DataFrame, path: str) -> None:
+    """(slug, api_key, description) as one JSON object keyed by slug, in one file of the folder ``path``: a table of keys is small."""
+    entry = F.struct("slug", F.struct("api_key", "slug", "description"))
+    one = tenants.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
 def env_file(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of KEY=VALUE lines; blank lines and comments go."""
+    """(key, value) of KEY=VALUE lines; blank lines and comments go; no rows where the file is missing."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "key string, value string")
     line = F.trim("value")
     rows = spark.read.text(path).where((line != "") & ~line.startswith("#") & line.contains("="))
     return rows.select(F.trim(F.regexp_extract("value", "^([^=]*)=", 1)).alias("key"), F.trim(F.regexp_extract("value", "^[^=]*=(.*)$", 1)).alias("value"))
+
+
+def env_with(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """The settings after ``changes``: given values replace, new keys are added."""
+    fresh = changes.select(F.col("key"), F.col("value").alias("__new"))
+    return current.join(fresh, "key", "full_outer").select("key", F.coalesce("__new", "value").alias("value"))

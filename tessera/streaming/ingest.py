@@ -1,23 +1,38 @@
-"""Append-only ingestion as a stream: new documents become chunks, each batch replacing its files' chunks."""
+"""Ingestion as a stream: documents become chunks, and a document that comes again replaces its chunks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.chunk import chunk_simple
 
 
-def chunk_stream(docs: DataFrame, sink: str, checkpoint: str, key: str = "doc_id", size: int = 512, overlap: int = 50) -> StreamingQuery:
-    """Chunks a stream of documents into Parquet folders by batch, so that a batch that is run again overwrites its own."""
+def chunk_stream(docs: DataFrame, sink: str, checkpoint: str, key: str = "doc_id", version: str | None = None, size: int = 512, overlap: int = 50) -> StreamingQuery:
+    """Chunks a stream of documents into one Parquet folder a batch, so that a batch that is run again overwrites its own.
+    ``latest`` reads them: of a document that comes again, in the same batch or a later one, the newest version's chunks
+    count. In a batch that is the row with the largest ``version``, or, without that column, with the largest text."""
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_simple(batch.dropDuplicates([key]), size=size, overlap=overlap).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        order = [F.desc(version)] if version else []
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(*order, F.desc("text")))
+        newest = batch.withColumn("__nth", nth).where("__nth = 1").drop("__nth").withColumn("has_chunks", F.lit(True))
+        chunks = chunk_simple(newest, size=size, overlap=overlap)
+        # a document whose new text gives no chunk leaves a row without one, so that its old chunks go
+        none = newest.select(key).join(chunks.select(key).distinct(), key, "left_anti").withColumn("has_chunks", F.lit(False))
+        chunks.unionByName(none, allowMissingColumns=True).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, sink: str, key: str = "doc_id") -> DataFrame:
+    """The chunks in a stream's sink: of each document those of its last batch."""
+    rows = spark.read.parquet(sink)
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").where("has_chunks").drop("batch", "has_chunks")
+
+
 def event_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per window and type with a watermark; the same on a batch and on a stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
