@@ -65,8 +65,15 @@ def env_file(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of KEY=VALUE lines; blank lines and comments go; no rows where the file is missing."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "key string, value string")
+    # Spark's own sources pass over files whose names begin with a dot; settings are few lines, so they are read here
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
     line = F.trim("value")
-    rows = spark.read.text(path).where((line != "") & ~line.startswith("#") & line.contains("="))
+    rows = spark.createDataFrame([(x,) for x in text.splitlines()], "value string").where((line != "") & ~line.startswith("#") & line.contains("="))
     return rows.select(F.trim(F.regexp_extract("value", "^([^=]*)=", 1)).alias("key"), F.trim(F.regexp_extract("value", "^[^=]*=(.*)$", 1)).alias("value"))
 
 
