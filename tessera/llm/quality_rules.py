@@ -22,7 +22,7 @@ from tessera.llm.scratch import stash
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_upper", "n_stops", "n_distinct")
+MORE = ("n_lines", "n_upper", "n_stops", "n_marks", "n_lettered")
 
 
 def _repeat_words(h: Column) -> Column:
@@ -40,40 +40,42 @@ def _repeat_words(h: Column) -> Column:
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and the counts that rules look at."""
-    words = F.filter(F.split(F.col("text"), BLANK), lambda w: w != "")
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hashes = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumns({"words": words, "lines": lines})
+    words = F.filter(F.split(F.col("__text"), BLANK), lambda w: w != "")
+    lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    hashes = F.when(F.size("__words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("__words") - WINDOW), lambda i: F.xxhash64(*(F.get("__words", i + j) for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumns({"__words": words, "__lines": lines})
     counted = base.select(
-        id_col,
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        F.regexp_count("text", F.lit(r"[.!?](?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_stops"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        hashes.alias("h"),
+        "__id",
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.regexp_count("__text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
+        F.regexp_count("__text", F.lit(r"[.!?](?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_stops"),
+        F.regexp_count("__text", F.lit(r"[!-/:-@\[-`{-~]")).cast("long").alias("n_marks"),
+        F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_lettered"),
+        hashes.alias("__h"),
     )
-    repeated = F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("h")))
-    return counted.select(id_col, *COUNTS[:-1], repeated.alias("n_repeat_words"), *MORE)
+    repeated = F.when(F.size(F.array_distinct("__h")) == F.size("__h"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("__h")))
+    return counted.select("__id", *COUNTS[:-1], repeated.alias("n_repeat_words"), *MORE)
 
 
 def _vote(bad: str, good: str) -> Column:
     return F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end")
 
 
-#: A rule votes bad if the first condition holds, good if the second does.
+#: A rule votes bad if the first condition holds, good if the second does. Each looks at evidence of its own and none at
+#: the text's length, so that what the votes have in common is quality and not how long a text is.
 RULES: dict[str, tuple[str, str]] = {
-    "long_enough": ("n_words < 20", "n_words >= 50"),
-    "few_repeats": ("100 * n_repeat_words > 10 * n_words", "100 * n_repeat_words <= 2 * n_words and n_words >= 20"),
-    "few_symbols": ("100 * n_symbols > 10 * n_words", "100 * n_symbols <= n_words and n_words >= 20"),
-    "word_length": ("2 * word_chars < 5 * n_words or word_chars > 14 * n_words", "word_chars >= 3 * n_words and word_chars <= 10 * n_words and n_words > 0"),
+    "few_symbols": ("100 * n_symbols > 10 * n_words", "100 * n_symbols <= n_words"),
+    "words_have_letters": ("100 * n_lettered < 75 * n_words", "100 * n_lettered >= 90 * n_words"),
+    "few_marks": ("100 * n_marks > 11 * word_chars", "100 * n_marks <= 7 * word_chars"),
+    "few_repeats": ("100 * n_repeat_words > 10 * n_words", "100 * n_repeat_words <= 2 * n_words"),
     "few_equal_lines": ("100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0 and n_lines > 1"),
-    "few_capitals": ("100 * n_upper > 40 * word_chars", "100 * n_upper <= 12 * word_chars and n_words >= 20"),
+    "word_length": ("10 * word_chars < 25 * n_words or 10 * word_chars > 90 * n_words", "word_chars >= 3 * n_words and word_chars <= 7 * n_words"),
+    "few_capitals": ("100 * n_upper > 40 * word_chars", "100 * n_upper <= 12 * word_chars"),
     "sentences": ("100 * n_stops > 60 * n_words or (n_stops = 0 and n_words >= 40)", "n_stops > 0 and 100 * n_stops <= 30 * n_words"),
-    "many_words": ("100 * n_distinct < 12 * n_words", "100 * n_distinct >= 25 * n_words and n_words >= 20"),
 }
 
 
@@ -123,4 +125,4 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         odds = odds + F.when(F.col(n) < 0, w[0]).when(F.col(n) > 0, w[2]).otherwise(w[1])
     posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counts.select(id_col, *COUNTS, failed.alias("base_failed"), (~failed & (posterior >= keep_at)).alias("kept"), posterior.alias("posterior"), *names)
+    return counts.select(F.col("__id").alias(id_col), *COUNTS, failed.alias("base_failed"), (~failed & (posterior >= keep_at)).alias("kept"), posterior.alias("posterior"), *names)
