@@ -24,8 +24,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
-#: Least window entropy in bits, by character class. Of 20 characters it is at most 4.32.
-HEX_BITS, MIXED_BITS = 3.0, 3.9
+#: Least window entropy in bits, by character class. Of 20 characters it is at most 4.32, of ten digits 3.32.
+BITS = {"digits": 3.1, "hex": 3.0, "letters": 3.9, "mixed": 3.9}
 ALLOWED = r"(?i)example|dummy|placeholder|sample|lorem|0123456789|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 #: What such a candidate still holds: separators and whole parts without an allowed word.
 UNLISTED = r"(?:[/=_-]|(?<![A-Za-z0-9+])(?!(?i:[A-Za-z0-9+]*(?:example|dummy|placeholder|sample|lorem|0123456789|abcdefgh)))[A-Za-z0-9+]++)++"
@@ -38,30 +38,49 @@ def _nlogn(n: Column) -> Column:
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of a window of ``window`` characters; null for shorter strings."""
+    """The largest Shannon entropy, in bits, of a window of ``window`` characters; null for shorter strings.
 
-    def times(text: Column, char: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+    The state is the count of each of the value's distinct characters in the window: a step takes one from the
+    character that leaves, adds one to the one that enters, and moves sum(n log n) by what these two change."""
 
     def slide(chars: Column) -> Column:
-        head = F.array_join(F.slice(chars, F.lit(1), F.lit(window)), "")
-        first = F.aggregate(F.array_distinct(F.slice(chars, F.lit(1), F.lit(window))), F.lit(0.0), lambda s, c: s + _nlogn(times(head, c)))
+        def over(known: Column) -> Column:
+            codes = F.transform(chars, lambda c: F.array_position(known, c).cast("int"))
 
-        def step(acc: Column, c: Column) -> Column:
-            leaves, rest = F.substring(acc["win"], 1, 1), F.substring(acc["win"], 2, window - 1)
-            gone, come = times(rest, leaves), times(rest, c)
-            total = acc["sum"] - _nlogn(gone + 1) + _nlogn(gone) - _nlogn(come) + _nlogn(come + 1)
-            return let(total, lambda t: F.struct(F.concat(rest, c).alias("win"), t.alias("sum"), F.least(acc["low"], t).alias("low")))
+            def along(code: Column) -> Column:
+                head = F.slice(code, F.lit(1), F.lit(window))
+                counts = F.transform(F.sequence(F.lit(1), F.size(known)), lambda k: F.size(F.filter(head, lambda c: c == k)))
+                moves = F.zip_with(F.slice(code, F.lit(1), F.size(code) - window), F.slice(code, F.lit(window + 1), F.size(code)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-        return let(first, lambda s: F.aggregate(F.slice(chars, F.lit(window + 1), F.size(chars)), F.struct(head.alias("win"), s.alias("sum"), s.alias("low")), step, lambda acc: F.lit(math.log2(window)) - acc["low"] / window))
+                def step(acc: Column, m: Column) -> Column:
+                    n, k = F.element_at(acc["n"], m["a"]), F.element_at(acc["n"], m["b"])
+                    total = acc["sum"] - _nlogn(n) + _nlogn(n - 1) - _nlogn(k) + _nlogn(k + 1)
+                    moved = F.transform(acc["n"], lambda x, i: x - (i + 1 == m["a"]).cast("int") + (i + 1 == m["b"]).cast("int"))
+                    changed = let(total, lambda t: F.struct(moved.alias("n"), t.alias("sum"), F.least(acc["low"], t).alias("low")))
+                    return F.when(m["a"] == m["b"], acc).otherwise(changed)
+
+                def fold(n: Column) -> Column:
+                    first = F.aggregate(n, F.lit(0.0), lambda s, x: s + _nlogn(x))
+                    return let(first, lambda s: F.aggregate(moves, F.struct(n.alias("n"), s.alias("sum"), s.alias("low")), step, lambda acc: F.lit(math.log2(window)) - acc["low"] / window))
+
+                return let(counts, fold)
+
+            return let(codes, along)
+
+        return let(F.array_distinct(chars), over)
 
     return F.when(F.length(value) >= window, let(F.split(value, ""), slide))
 
 
+def least_bits(value: Column) -> Column:
+    """The threshold of a candidate's class: digits, hex, letters alone, or a mixture with digits; null for any other."""
+    letters = value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return F.when(value.rlike("^[0-9]+$"), BITS["digits"]).when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & value.rlike("[0-9]"), BITS["hex"]).when(
+        value.rlike("[0-9]") & value.rlike("[A-Za-z]"), BITS["mixed"]).when(~value.rlike("[0-9]") & letters, BITS["letters"])
+
+
 def _suspicious(value: Column) -> Column:
-    hexed = value.rlike("^[0-9a-fA-F]+$")
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return mixed & ~value.rlike(ALLOWED) & (window_entropy(value) >= F.when(hexed, HEX_BITS).otherwise(MIXED_BITS))
+    return ~value.rlike(ALLOWED) & (window_entropy(value) >= least_bits(value))
 
 
 def _candidates(span: Column) -> Column:
