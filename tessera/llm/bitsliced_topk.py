@@ -160,7 +160,8 @@ def _tile(k: int):
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, id and score of the k best rows for each row that ``queries`` selects."""
+    """query_id, rank, id and score of the k best rows for each row that ``queries`` selects. The id has its column's name, or
+    "candidate" where that is one of the other three."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     ready = rows.select("id", "v", "asks").mapInArrow(lean(_quantise(scale)), "id long, asks boolean, dims int, x binary")
     n, m = ready.agg(F.count("*"), F.count_if("asks")).first()
@@ -171,4 +172,5 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     by = ["dims", "block", "ask"]
     won = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_tile(k), "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return won.select("query_id", rank.alias("rank"), F.col("id").alias(id_col), "score").where(F.col("rank") <= k)
+    name = "candidate" if id_col in ("query_id", "rank", "score") else id_col
+    return won.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(name), "score")
