@@ -69,7 +69,7 @@ def gather(rows: DataFrame, make, kind: str = "<i8") -> list[tuple[int, np.ndarr
             for a, b, buf, off in X.blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array([x.astype(kind).tobytes() for x in make(buf, off)], pa.binary())], ["id", "y", "x"])
 
-    out = rows.select("text", "id", "y").mapInArrow(lean(run), "id long, y int, x binary").toLocalIterator()
+    out = rows.select("text", "id", "y").mapInArrow(lean(run), "id long, y int, x binary").repartition("id").toLocalIterator()  # the shuffle lets all tasks run at once
     best: dict[int, tuple[int, bytes]] = {}
     for r in out:  # of rows that repeat an id the one with the largest features counts, whatever order they come in
         best[r.id] = max(best.get(r.id, (r.y, b"")), (r.y, bytes(r.x)))
