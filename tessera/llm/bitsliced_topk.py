@@ -1,9 +1,10 @@
 """Exact inner-product top-k on a bit-sliced index.
 
-Vectors become integers floor(scale * x). A tile meets up to ROWS vectors with up to QUERIES queries. It keeps the
-upper slices of each attribute as bitmaps over its rows, adds them weighted by the query's components with
-bitmap full adders, and walks the sum's slices from the most significant downward to the k-th largest
-value. What the dropped slices can add bounds which rows may still win; only those boundary rows get exact
+Vectors become integers floor(scale * x). A tile meets one block of the index with up to QUERIES queries, so that a
+vector is sent, and its block's slices are built, once for QUERIES queries (more often only while there are fewer
+tiles than cores). It keeps the upper slices of each attribute as bitmaps over its rows, adds them weighted by
+the query's components with bitmap full adders, and walks the sum's slices from the most significant downward to
+the k-th largest value. What the dropped slices can add bounds which rows may still win; only those boundary rows get exact
 inner products. A tile passes on its best k a query, and a rank over the tiles' winners ends it.
 
 Ties go to the smaller id. Vectors with components so large that sums may leave 64 bits stay out of the index and
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tasks import lean
 
-ROWS, QUERIES = 16_384, 256
-LOW_BITS = 2
+#: A block of the index holds about so many vectors, or so many components if that is less; a tile's queries.
+ROWS, CELLS, QUERIES = 32_768, 1 << 22, 8_192
+#: With fewer queries a tile is not divided to keep more cores busy.
+FEW = 256
+#: Slices kept of an attribute of usual width.
+KEPT = 6
 
 
 def _quantise(scale: float):
@@ -55,40 +60,49 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, x: np.ndarray, low: int = LOW_BITS):
-        """x: rows by attributes, int64."""
-        self.x, self.low = x, low
-        shifted = x - x.min(axis=0)
-        self.top = [max(0, int(m).bit_length()) for m in shifted.max(axis=0)]
-        self.slices = [[_bits((shifted[:, d] >> b) & 1 > 0) for b in range(low, self.top[d])] for d in range(x.shape[1])]
+    """The upper slices of every attribute, each a bitmap over the rows."""
+
+    def __init__(self, x: np.ndarray, low: int | None = None):
+        """x: rows by attributes, int64. ``low``: how many lower slices are left out."""
+        least, most = x.min(axis=0), x.max(axis=0)
+        self.top = np.array([int(m).bit_length() for m in most - least], np.int64)
+        self.low = low = max(0, int(np.median(self.top)) - KEPT) if low is None else low
+        kept = [(d, b) for d, top in enumerate(self.top.tolist()) for b in range(low, top)]
+        self.owner, self.place = np.array(kept, np.int64).reshape(-1, 2).T - [[0], [low]]
         self.all = _bits(np.ones(len(x), bool))
+        self.slices = np.empty((len(kept), len(self.all)), np.uint64)
+        for i, (d, b) in enumerate(kept):
+            self.slices[i] = _bits(((x[:, d] - least[d]) >> b) & 1 > 0)
 
     def _sum(self, q: np.ndarray) -> list[np.ndarray]:
-        """Slices of the weighted sum, least significant first. A negative weight adds the complement, which differs by a constant."""
+        """Slices of the weighted sum, least significant first. A negative weight adds the complement, which differs by a constant.
+
+        Bitmaps of one significance stand in a column. Full adders take them by threes and leave one there and
+        one in the next column, all threes of a column at once, until one is left."""
+        weight = np.abs(q)[self.owner]
+        flip = np.where(q < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[self.owner]
+        took = [np.flatnonzero((weight >> j) & 1) for j in range(int(weight.max(initial=0)).bit_length())]
+        rows = np.concatenate([*took, np.zeros(0, np.int64)])
+        column = np.concatenate([*(self.place[t] + j for j, t in enumerate(took)), np.zeros(0, np.int64)])
+        order = np.argsort(column, kind="stable")
+        rows, ends = rows[order], np.cumsum(np.bincount(column))
         total: list[np.ndarray] = []
-        zero = np.zeros_like(self.all)
-        for d, weight in enumerate(q.tolist()):
-            own = self.slices[d] if weight > 0 else [~s for s in self.slices[d]]
-            shift, weight = 0, abs(weight)
-            while weight and own:
-                if weight & 1:
-                    while len(total) < shift + len(own):
-                        total.append(zero)
-                    carry = None
-                    for i, s in enumerate(own, shift):
-                        t = total[i]
-                        half = t ^ s
-                        if carry is None:
-                            total[i], carry = half, t & s
-                        else:
-                            total[i], carry = half ^ carry, (t & s) | (half & carry)
-                    i = shift + len(own)
-                    while carry.any():
-                        if i == len(total):
-                            total.append(zero)
-                        total[i], carry = total[i] ^ carry, total[i] & carry
-                        i += 1
-                shift, weight = shift + 1, weight >> 1
+        carried: list[np.ndarray] = []
+        while len(total) < len(ends) or carried:
+            c = len(total)
+            own = rows[ends[c - 1] if c else 0 : ends[c]] if c < len(ends) else rows[:0]
+            stack = np.concatenate([self.slices[own] ^ flip[own, None], *carried])
+            carried = []
+            while len(stack) > 2:
+                n = len(stack) // 3
+                x, y, z = stack[:n], stack[n : 2 * n], stack[2 * n : 3 * n]
+                half = x ^ y
+                carried.append((x & y) | (half & z))
+                stack = np.concatenate([half ^ z, stack[3 * n :]])
+            if len(stack) == 2:
+                carried.append(stack[:1] & stack[1:])
+                stack = stack[:1] ^ stack[1:]
+            total.append(stack[0] if len(stack) else np.zeros_like(self.all))
         return total
 
     def candidates(self, q: np.ndarray, k: int, out: np.ndarray) -> np.ndarray:
@@ -105,7 +119,7 @@ class Index:
                 else:
                     need, tie = need - have, tie & ~total[b]
             # what the dropped slices of every row can add, in units of the kept ones
-            slack = sum(abs(int(w)) * ((1 << min(self.low, t)) - 1) for w, t in zip(q, self.top, strict=True))
+            slack = int(np.abs(q) @ ((1 << np.minimum(self.low, self.top)) - 1))
             least = kth - -(-slack // (1 << self.low))
             if least > 0:
                 over, same = np.zeros_like(rows), rows
@@ -136,10 +150,11 @@ def _tile(k: int):
             at_x, x, at_wide, wide = _read(vectors.column("x"), dims)
             at_q, q_short, at_q_wide, q_wide = _read(asked.column("asked_x"), dims)
             index = Index(x) if len(x) else None
+            x = x.astype(np.int32)
             for query, q, fits in [*zip(queries[at_q].tolist(), q_short, [True] * len(at_q)), *zip(queries[at_q_wide].tolist(), q_wide, [False] * len(at_q_wide))]:
                 own = ids[at_x] == query
                 at = np.flatnonzero(~own) if index is None or not fits else index.candidates(q, k, _bits(own))
-                score = x[at] @ q if fits else x[at].astype(object) @ q
+                score = x[at].astype(np.int64 if fits else object) @ q
                 at = at_x[at]
                 if len(at_wide):
                     more = np.flatnonzero(ids[at_wide] != query)
@@ -164,8 +179,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     "candidate" where that is one of the other three."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     ready = rows.select("id", "v", "asks").mapInArrow(lean(_quantise(scale)), "id long, asks boolean, dims int, x binary")
-    n, m = ready.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, asked = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
+    n, m, cells = ready.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.sum("dims"), F.lit(0))).first()
+    blocks = max(1, -(-n // ROWS), -(-cells // CELLS))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    asked = max(1, -(-m // QUERIES), min(-(-m // FEW), -(-cores // blocks)))
     left = ready.select("dims", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("ask"), "id", "x")
     ask = ready.where("asks").dropDuplicates(["id"])
     right = ask.select("dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(F.col("id") + 1), F.lit(asked)).cast("int").alias("ask"), F.col("id").alias("asked_id"), F.col("x").alias("asked_x"))
