@@ -38,6 +38,7 @@ TILE = 1024  # members of one side of a compared tile
 EARLY = 6  # keys of a document in the star
 BROADCAST_IDS = 1_000_000  # up to so many counted ids (8 bytes each) are broadcast; more are shuffled
 BUCKET = 4 << 20  # bytes of keys that go to one bucket
+KEY = 6  # bytes of a key that are sent beside its bucket
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -231,30 +232,54 @@ def _meet(batches):
 
 
 def _send_tiles(buckets: int):
-    """Packs (key, component) by bucket, each once a batch."""
+    """Packs (key, component) by bucket, each once a batch. Of a key six bytes go: buckets hold a set number of keys, so
+    that hardly two meet there, and two that do only make a tile that is compared for nothing. Components go as the
+    difference to the least one, in four bytes where that is enough."""
 
     def run(batches):
         for batch in batches:
             key, per = _lists(batch.column(1))
             comp = np.repeat(batch.column(0).to_numpy(), per)
-            o = np.lexsort((comp, key))
-            key, comp = key[o], comp[o]
+            bucket = (key >> np.uint64(11)) % np.uint64(buckets)
+            o = np.lexsort((comp, key, bucket))
+            key, comp, bucket = key[o], comp[o], bucket[o]
             fresh = np.append(True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1]))[: len(key)]
-            if len(key):
-                yield _packed(_by_bucket(key[fresh], comp[fresh], buckets), ["bucket", "keys", "comps"])
+            key, comp, bucket = key[fresh], comp[fresh], bucket[fresh]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            out = []
+            for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                k, c = key[cut[i] : cut[i + 1]].astype("<u8"), comp[cut[i] : cut[i + 1]]
+                least = c.min()
+                if int(c.max()) - int(least) < 1 << 32:
+                    c = (c - least).astype("<u4")
+                out.append((i, _raw(k.view(np.uint8).reshape(-1, 8)[:, :KEY]), least.tobytes() + _raw(c)))
+            if out:
+                yield _packed(out, ["bucket", "keys", "comps"])
 
     return run
 
 
+def _unpacked(keys: bytes, comps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // KEY
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :KEY] = np.frombuffer(keys, np.uint8).reshape(n, KEY)
+    if len(comps) == 8 * (n + 1):
+        comp = np.frombuffer(comps, np.int64, n, 8)
+    else:
+        comp = np.frombuffer(comps, np.int64, 1) + np.frombuffer(comps, np.uint32, n, 8)
+    return key.view("<u8")[:, 0], comp
+
+
 def _torn(batches):
-    """Per bucket: the keys whose holders are in several components."""
+    """Per bucket: the short keys whose holders are in several components."""
 
-    def close(keys, comps):
-        key, comp = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(comps), np.int64)
+    def close(bucket, keys, comps):
+        key, comp = np.concatenate(keys), np.concatenate(comps)
         o = np.lexsort((comp, key))
         key, comp = key[o], comp[o]
         apart = (key[1:] == key[:-1]) & (comp[1:] != comp[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(key[1:][apart]).view(np.int64))], ["key"])
+        key = np.unique(key[1:][apart]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket, np.int32)), pa.array(key)], ["bucket", "short"])
 
     now, keys, comps = None, [], []
     for batch in batches:
@@ -262,12 +287,13 @@ def _torn(batches):
             b, k, c = (x[at].as_py() for x in batch.columns)
             if b != now:
                 if keys:
-                    yield close(keys, comps)
+                    yield close(now, keys, comps)
                 now, keys, comps = b, [], []
+            k, c = _unpacked(k, c)
             keys.append(k)
             comps.append(c)
     if keys:
-        yield close(keys, comps)
+        yield close(now, keys, comps)
 
 
 def _wide_bitmap(s: np.ndarray) -> bytes:
@@ -379,10 +405,11 @@ def _tiles(percent: int, nearest: bool):
     return run
 
 
-def _among(table: DataFrame, listed: DataFrame, column: str = "id") -> DataFrame:
-    """The rows whose ``column`` is listed; a short list goes to the rows, or both are shuffled."""
-    listed = stash(listed.select(column).distinct(), "listed")
-    return table.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, column, "left_semi")
+def _among(table: DataFrame, listed: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose ``columns``, or id, are listed; a short list goes to the rows, or both are shuffled."""
+    on = list(columns) or ["id"]
+    listed = stash(listed.select(*on).distinct(), "listed")
+    return table.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, on, "left_semi")
 
 
 def _decide(pairs: DataFrame, named: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -443,8 +470,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = named.select("id", "keys").join(lone.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     keyed = stash(first.join(own, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "keys", "id"), "keyed")
     sent = keyed.select("comp", "keys").mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, comps binary")
-    torn = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "key long"), "torn")
-    member = stash(_among(keyed.select("id", F.explode("keys").alias("key")), torn, "key").distinct(), "members")
+    torn = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "bucket int, short long"), "torn")
+    held_by = keyed.select("id", F.explode("keys").alias("key"))
+    bucket, short = (F.shiftrightunsigned("key", 11) % buckets).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 8 * KEY) - 1))
+    member = stash(_among(held_by.withColumns({"bucket": bucket, "short": short}), torn, "bucket", "short").select("id", "key").distinct(), "members")
     drop(lone, keyed, torn)
     small = stash(_among(named.select("id", "n", *bit_cols), member).dropDuplicates(["id"]), "small")
     nearest = True
