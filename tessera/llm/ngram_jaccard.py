@@ -14,8 +14,8 @@
 5. Torn tiles. All keys go with their component, once a task; a tile whose holders are in one component has nothing
    left to say. In the others, holders are compared across components, blockwise, by bitmap. As long as that gives
    links, each holder hands on only its nearest of another component, so that groups of near copies grow together and
-   their pairs are never listed; then every pair that is left is decided, by a bitmap that grows with the set
-   and then exactly.
+   their pairs are never listed; holders without any such partner leave; then every pair that is left is decided, by a
+   bitmap that grows with the set and then exactly.
 
 Edge cases: null and empty texts have an empty set and link with nothing; fewer than ``k`` words make
 one shingle; a row without an id has no component; rows that repeat an id share its component; extra
@@ -409,7 +409,11 @@ def _among(table: DataFrame, listed: DataFrame, *columns: str) -> DataFrame:
     """The rows whose ``columns``, or id, are listed; a short list goes to the rows, or both are shuffled."""
     on = list(columns) or ["id"]
     listed = stash(listed.select(*on).distinct(), "listed")
-    return table.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, on, "left_semi")
+    return table.join(_counted(listed), on, "left_semi")
+
+
+def _counted(listed: DataFrame) -> DataFrame:
+    return F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
 
 
 def _decide(pairs: DataFrame, named: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -495,9 +499,15 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         linked = more.limit(1).count() > 0
         if linked:
             groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-        drop(cross, more)
         if not nearest:
+            drop(cross, more)
             break
+        # components only grow together: a holder without a partner in this round has none in a later one
+        ids = stash(cross.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "partnered")
+        asked = _counted(ids)
+        kept = stash(member.join(asked, "id", "left_semi"), "members"), stash(small.join(asked, "id", "left_semi"), "small")
+        drop(member, small, ids, cross, more)
+        member, small = kept
         nearest = linked
     sizes = stash(feats.select("id", "n"), "sizes")
     drop(feats, member, small)
