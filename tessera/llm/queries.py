@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced_topk, ngram_jaccard, packing, piece_viterbi, quality_model, quality_rules, secrets, suffix_dedup, toxicity, warc
+from tessera.llm import bitsliced_topk, divergence, ngram_jaccard, packing, pii, piece_viterbi, quality_model, quality_rules, secrets, suffix_dedup, toxicity, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,12 +78,54 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_quality_rules, op3_warc, op4_sentencepiece, op5_exact_topk, op6_secret_scans, op7_ngram_jaccard, op8_best_fit_packing, op9_toxicity, op10_quality_classifier, pipeline]
+    found = [op1_suffix_dedup, op2_quality_rules, op3_warc, op4_sentencepiece, op5_exact_topk, op6_secret_scans, op7_ngram_jaccard, op8_best_fit_packing, op9_toxicity, op10_quality_classifier, op11_pii, op12_vector_codes, op13_source_divergence, pipeline]
     return {f.__name__: f for f in found}
 
 
+_FLOORED = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _codes_sql() -> str:
+    """Product codes in SQL: seeds, two rounds of (assign, move), a last assignment."""
+    dot = lambda a, b: f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+    steps = []
+    for i in range(3):
+        steps.append(f"""a{i} AS (SELECT vec_id, part, s, d, entry FROM (SELECT p.vec_id, p.part, p.s, c.entry, CAST({dot('p.s', 'p.s')} - 2 * {dot('p.s', 'c.s')} + {dot('c.s', 'c.s')} AS BIGINT) AS d
+                FROM p JOIN c{i} c USING (part)) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)""")
+        if i < 2:
+            steps.append(f"""m{i} AS (SELECT part, entry, list(CAST(floor(CAST(t AS DOUBLE) / n) AS BIGINT) ORDER BY j) AS s FROM (SELECT part, entry, j, sum(s[j]) AS t, count(*) AS n
+                FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM a{i}) GROUP BY part, entry, j) GROUP BY part, entry),
+            c{i + 1} AS (SELECT part, entry, coalesce(m{i}.s, c{i}.s) AS s FROM c{i} LEFT JOIN m{i} USING (part, entry))""")
+    return f"""
+            WITH v AS (SELECT vec_id, label, {_FLOORED} AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            p AS (SELECT vec_id, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS s FROM (SELECT *, unnest(range(16)) AS part FROM v)),
+            c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, s FROM p QUALIFY entry < 64),
+            {", ".join(steps)},
+            h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+            e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id) CROSS JOIN h"""
+
+
+_DIVERGENCE_SQL = r"""
+            WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+            c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS held FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+            k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL HAVING sum(held) >= 30),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, lang_n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+            t AS (SELECT *, sum(n) OVER g AS total, sum(lang_n) OVER g AS lang_total, count(*) OVER g AS v FROM m WINDOW g AS (PARTITION BY lang, source)),
+            s AS (SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (total + 5 * v) AS BIGINT) AS p,
+                         CAST(1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 5)) // (lang_total + 5 * v) AS BIGINT) AS q FROM t),
+            f AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL)
+            SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM f
+            UNION ALL SELECT lang, source, 'term', term, p - q, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS INTEGER) AS rank FROM s WHERE n > 0 AND p > q QUALIFY rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_vector_codes": _codes_sql(),
+        "op13_source_divergence": _DIVERGENCE_SQL,
         "op3_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
             d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
