@@ -6,28 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import decode
+from tessera.sources.folders import hashed, tree
 
 LISTING = "file_path string, file_size long"
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """All files with their sizes through Hadoop's file system, so that empty files, which file scans skip, are there too."""
+def listing(spark: SparkSession, root: str, by: str = "tasks") -> DataFrame:
+    """tenant_slug, filename, file_path, file_size of all files, also of empty ones, which file scans skip.
+
+    Tasks list the tree level by level. ``by="driver"`` walks it on the driver instead, for a file system that only
+    Hadoop's classes reach; every path then passes the driver, so it is for small trees."""
+    if by not in ("tasks", "driver"):
+        raise ValueError(f"list by tasks or by driver, not by {by}")
+    df = tree(spark, root).withColumnRenamed("path", "file_path") if by == "tasks" else _walked(spark, root)
+    parts = F.split("file_path", "/")
+    return df.select(F.element_at(parts, 1).alias("tenant_slug"), F.element_at(parts, -1).alias("filename"), "file_path", "file_size")
+
+
+def _walked(spark: SparkSession, root: str) -> DataFrame:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(conf)
     if not fs.exists(path):
-        return spark.createDataFrame([], "tenant_slug string, filename string, " + LISTING)
+        return spark.createDataFrame([], LISTING)
     base, rows, it = fs.makeQualified(path).toString().rstrip("/") + "/", [], fs.listFiles(path, True)
     while it.hasNext():
         f = it.next()
         rows.append((f.getPath().toString().removeprefix(base), f.getLen()))
-    df = spark.createDataFrame(rows, LISTING)
-    return df.select(F.element_at(F.split("file_path", "/"), 1).alias("tenant_slug"), F.element_at(F.split("file_path", "/"), -1).alias("filename"), "file_path", "file_size")
+    return spark.createDataFrame(rows, LISTING)
 
 
-def snapshot(spark: SparkSession, root: str, with_text: bool = False) -> DataFrame:
-    """The listing with each file's SHA-256 (and text): tenant_slug, filename, file_path, file_size, file_hash."""
-    files = listing(spark, root)
+def snapshot(spark: SparkSession, root: str, with_text: bool = False, by: str = "tasks") -> DataFrame:
+    """The listing with each file's SHA-256 (and text): tenant_slug, filename, file_path, file_size, file_hash. Tasks list
+    and read the files; ``by="driver"`` as in ``listing``."""
+    files = listing(spark, root, by)
+    if by == "tasks":
+        out = hashed(files, root, with_text)
+        names = ["tenant_slug", "filename", "file_path", "file_size", "file_hash"]
+        return out.select(*names, *([F.coalesce(decode(F.col("content")), F.lit("")).alias("text")] if with_text else []))
     if not files.limit(1).count():
         return files.withColumn("file_hash", F.lit(None).cast("string"))
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -36,8 +52,8 @@ def snapshot(spark: SparkSession, root: str, with_text: bool = False) -> DataFra
     body = content.select(F.expr(f"substring(path, {len(prefix) + 1})").alias("file_path"), F.sha2("content", 256).alias("__hash"), *([decode(F.col("content")).alias("text")] if with_text else []))
     joined = files.join(body, "file_path", "left")
     empty = F.sha2(F.lit("").cast("binary"), 256)
-    hashed = F.coalesce("__hash", F.when(F.col("file_size") == 0, empty).otherwise(""))
-    return joined.select(*files.columns, hashed.alias("file_hash"), *([F.coalesce("text", F.lit("")).alias("text")] if with_text else []))
+    digest = F.coalesce("__hash", F.when(F.col("file_size") == 0, empty).otherwise(""))
+    return joined.select(*files.columns, digest.alias("file_hash"), *([F.coalesce("text", F.lit("")).alias("text")] if with_text else []))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
