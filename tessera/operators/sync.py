@@ -7,9 +7,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip
+from tessera.functions.text import sha256, strip
 from tessera.operators.chunk import ChunkConfig, chunk
 from tessera.operators.embed import embed
+from tessera.sources.shared import written
 
 KEY = ["tenant_slug", "file_path"]
 STATUSES = ("pending", "processing", "synced", "failed", "deleted")
@@ -18,8 +19,9 @@ RETRIED = ("pending", "processing", "failed")
 
 def plan(snapshot: DataFrame, registry: DataFrame, force: bool = False, retry: bool = False) -> DataFrame:
     """One row per path of either side with its change: new, updated, deleted or unchanged. Hashes compare null-safe;
-    ``retry`` also takes up files whose last run did not end well."""
-    fs = snapshot.select(*KEY, F.col("file_hash").alias("new_hash"), F.col("file_size").alias("new_size"), F.lit(True).alias("__fs"))
+    ``retry`` also takes up files whose last run did not end well. What has no tenant or path is no file: such rows of the
+    snapshot are left out (``quality.gate`` tells them apart) and those of the registry count as deleted."""
+    fs = keyed(snapshot).select(*KEY, F.col("file_hash").alias("new_hash"), F.col("file_size").alias("new_size"), F.lit(True).alias("__fs"))
     db = registry.select(*KEY, F.col("file_hash").alias("old_hash"), F.col("sync_status").alias("old_status"), F.lit(True).alias("__db"))
     stale = ~F.col("new_hash").eqNullSafe(F.col("old_hash")) | F.lit(force)
     if retry:
@@ -28,6 +30,10 @@ def plan(snapshot: DataFrame, registry: DataFrame, force: bool = False, retry: b
     return fs.join(db, KEY, "full_outer").withColumn("change", change).drop("__fs", "__db")
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull())
+
+
 def summary(planned: DataFrame) -> DataFrame:
     return planned.groupBy("change").agg(F.count("*").alias("n_files"), F.min("file_path").alias("first_path"), F.max("file_path").alias("last_path"))
 
@@ -49,7 +55,7 @@ def preview(planned: DataFrame, most: int = 10) -> DataFrame:
 def apply(planned: DataFrame, registry: DataFrame) -> DataFrame:
     """The registry after the plan: deleted rows go, new and updated rows are processing with their new hash and size."""
     touched = planned.where(F.col("change").isin("new", "updated")).select(*KEY, F.col("new_hash").alias("file_hash"), F.col("new_size").alias("file_size"), F.lit("processing").alias("sync_status"))
-    rest = registry.select(*KEY, "file_hash", "file_size", "sync_status").join(planned.where(F.col("change").isin("updated", "deleted")).select(*KEY), KEY, "left_anti")
+    rest = keyed(registry).select(*KEY, "file_hash", "file_size", "sync_status").join(planned.where(F.col("change").isin("updated", "deleted")).select(*KEY), KEY, "left_anti")
     return rest.unionByName(touched)
 
 
@@ -83,33 +89,45 @@ class Synced(NamedTuple):
     outcomes: DataFrame
 
 
+def pieces_of(texts: DataFrame, config: ChunkConfig) -> DataFrame:
+    """The chunks of texts (tenant_slug, file_path, text): chunk_index, content, chunk_hash, token_count. Blank texts and
+    those under ten characters give none."""
+    known = texts.select(*KEY, F.coalesce("text", F.lit("")).alias("text")).where(F.length(strip(F.col("text"))) >= 10)
+    out = chunk(known, config.strategy, **({"size": config.size} if config.strategy == "semantic" else {"size": config.size, "overlap": config.overlap}))
+    if config.max_chunks is not None:
+        out = out.where(F.col("chunk_index") < config.max_chunks)
+    return out.select(*KEY, "chunk_index", "content", sha256(F.col("content")).alias("chunk_hash"), "token_count")
+
+
+def outcomes_of(changed: DataFrame, snapshot: DataFrame, pieces: DataFrame) -> DataFrame:
+    """One row per changed file: its new hash and size, chunks made, and whether it ends as synced or failed, with the reason."""
+    per = pieces.groupBy(*KEY).agg(F.count("*").alias("n_chunks"))
+    done = changed.select(*KEY, "change").join(snapshot.select(*KEY, "file_hash", "file_size"), KEY).join(per, KEY, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
+    ok = F.col("n_chunks") > 0
+    error = F.when(~ok, F.when(F.col("file_size") == 0, "empty").otherwise("no text"))
+    return done.withColumns({"sync_status": F.when(ok, "synced").otherwise("failed"), "sync_error": error})
+
+
 def sync(snapshot: DataFrame, registry: DataFrame, chunks: DataFrame, config: ChunkConfig | None = None, force: bool = False, retry: bool = True) -> Synced:
     """Carries a plan out: changed files are chunked and embedded, their chunks replace the old ones, deleted files and their
     chunks go.
 
     snapshot: tenant_slug, file_path, file_hash, file_size, text; chunks: tenant_slug, file_path, chunk_index, content,
-    token_count, embedding. A file without bytes or without text ends as failed with its reason, and its old chunks go
-    too; a good one ends as synced without an error. Nothing is written: the caller stores the three tables as one snapshot."""
+    token_count, embedding, to which chunk_hash and embedding_model are added. A file without bytes or without text ends as failed with its reason, and its old chunks go
+    too; a good one ends as synced without an error. The plan, the chunks and their vectors are worked out once and written to the shared folder, so that
+    the three results agree; ``store.Store`` also keeps them."""
     config = config or ChunkConfig()
-    planned = plan(snapshot, registry, force, retry)
-    changed = planned.where(F.col("change").isin("new", "updated")).select(*KEY, "change")
-    texts = snapshot.join(changed, KEY, "left_semi").select(*KEY, F.coalesce("text", F.lit("")).alias("text")).where(F.length(strip(F.col("text"))) >= 10)
-    pieces = chunk(texts, config.strategy, **({"size": config.size} if config.strategy == "semantic" else {"size": config.size, "overlap": config.overlap}))
-    if config.max_chunks is not None:
-        pieces = pieces.where(F.col("chunk_index") < config.max_chunks)
-    fresh = embed(pieces.select(*KEY, "chunk_index", "content", "token_count"), config.model)
-    per = pieces.groupBy(*KEY).agg(F.count("*").alias("n_chunks"))
-    zero = F.lit(0).cast("long")
-    done = changed.join(snapshot.select(*KEY, "file_hash", "file_size"), KEY).join(per, KEY, "left").withColumn("n_chunks", F.coalesce("n_chunks", zero))
-    ok = F.col("n_chunks") > 0
-    error = F.when(~ok, F.when(F.col("file_size") == 0, "empty").otherwise("no text"))
-    done = done.withColumns({"sync_status": F.when(ok, "synced").otherwise("failed"), "sync_error": error})
-    rest = registry.join(planned.where("change <> 'unchanged'").select(*KEY), KEY, "left_anti")
+    planned = written(plan(snapshot, registry, force, retry).where("change <> 'unchanged'"), "plan")
+    changed = planned.where(F.col("change").isin("new", "updated"))
+    texts = snapshot.join(changed.select(*KEY), KEY, "left_semi").select(*KEY, "file_hash", "file_size", "text")
+    fresh = written(embed(pieces_of(texts, config), config.model).withColumn("embedding_model", F.lit(config.model)), "fresh")
+    done = outcomes_of(changed, snapshot, fresh)
+    rest = keyed(registry).join(planned.select(*KEY), KEY, "left_anti")
     if "sync_error" not in rest.columns:
         rest = rest.withColumn("sync_error", F.lit(None).cast("string"))
     columns = [*KEY, "file_hash", "file_size", "sync_status", "sync_error"]
-    kept = chunks.join(planned.where("change <> 'unchanged'").select(*KEY), KEY, "left_anti")
-    return Synced(rest.select(*columns).unionByName(done.select(*columns)), kept.unionByName(fresh), done.select(*KEY, "change", "n_chunks", "sync_status", "sync_error"))
+    kept = chunks.join(planned.select(*KEY), KEY, "left_anti")
+    return Synced(rest.select(*columns).unionByName(done.select(*columns)), kept.unionByName(fresh, allowMissingColumns=True), done.select(*KEY, "change", "n_chunks", "sync_status", "sync_error"))
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:
