@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vector as V
 from tessera.operators.chunk import MODELS
 from tessera.operators.embed import encode_query
-from tessera.operators.search import DISTANCES, knn_batch
+from tessera.operators.search import DISTANCES, SIMILARITIES, knn_batch, similar_enough
 from tessera.operators.tenants import TenantView
 
 #: The answer's opening, the answer without sources, and how answers are made.
@@ -23,7 +23,10 @@ CITATION = ["chunk_id", "file_id", "filename", "chunk_index", "content", "token_
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """What a request may set; refuses values out of range."""
+    """What a request may set; refuses values out of range.
+
+    ``threshold`` is the least similarity, by metric: 1 - distance for cosine, 1 / (1 + distance) for euclidean, and the
+    product itself for dot, which is the only one that may lie outside 0..1."""
 
     k: int = 5
     threshold: float | None = None
@@ -33,10 +36,10 @@ class SearchConfig:
     def __post_init__(self):
         if not 1 <= self.k <= 20:
             raise ValueError("k must lie in 1..20")
-        if self.threshold is not None and not 0 <= self.threshold <= 1:
-            raise ValueError("threshold must lie in 0..1")
         if self.metric not in DISTANCES:
             raise ValueError(f"unknown metric {self.metric}")
+        if self.threshold is not None and self.metric != "dot" and not 0 <= self.threshold <= 1:
+            raise ValueError("threshold must lie in 0..1")
         if self.model not in MODELS:
             raise ValueError(f"unknown model {self.model}")
 
@@ -55,41 +58,49 @@ def chunk_id() -> Column:
     return F.concat_ws(":", F.col("file_id").cast("string"), F.col("chunk_index").cast("string"))
 
 
-def cited(hits: DataFrame, files: DataFrame) -> DataFrame:
+def cited(hits: DataFrame, files: DataFrame, metric: str = "cosine") -> DataFrame:
     """Full citations of ranked chunks (file_id, chunk_index, distance, content, ...): chunk_id, filename, the score in 0..1
-    and a metadata map. Files join after the ranking, so that only its rows meet them."""
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance"))), 6)
+    (the metric's similarity, cut to that range) and a metadata map. Files join after the ranking, so that only its rows meet them."""
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), SIMILARITIES[metric](F.col("distance")))), 6)
     named = hits.join(files.select("file_id", "filename"), "file_id", "left")
     meta = F.create_map(F.lit("filename"), F.col("filename"), F.lit("chunk_index"), F.col("chunk_index").cast("string"))
     return named.withColumns({"chunk_id": chunk_id(), "score": score, "metadata": meta})
 
 
+def of_model(chunks: DataFrame, model: str) -> DataFrame:
+    """Chunks whose vectors the model made: by ``embedding_model`` where the table has it, and of the model's length."""
+    fit = chunks.where(F.size("embedding") == MODELS[model])
+    return fit.where(F.col("embedding_model") == model) if "embedding_model" in chunks.columns else fit
+
+
 def search(view: TenantView, chunks: DataFrame, files: DataFrame, query: str, config: SearchConfig | None = None) -> DataFrame:
     """The tenant's chunks nearest to the query with full citations, by rank.
-    chunks: tenant_slug, file_id, chunk_index, content, token_count, embedding; vectors of another length take no part."""
+    chunks: tenant_slug, file_id, chunk_index, content, token_count, embedding and, where several models are in use,
+    embedding_model; vectors of another model or length take no part."""
     config = config or SearchConfig()
     asked = V.literal(encode_query(check_query(query), config.model))
-    own = view.of(chunks).where(F.size("embedding") == MODELS[config.model])
+    own = of_model(view.of(chunks), config.model)
     near = own.select("file_id", "chunk_index", F.round(DISTANCES[config.metric](F.col("embedding"), asked), 6).alias("distance")).where("distance is not null")
     if config.threshold is not None:
-        near = near.where(1 - F.col("distance") >= config.threshold)
+        near = near.where(similar_enough(config.metric, config.threshold))
     order = ["distance", "file_id", "chunk_index"]
     ranked = near.orderBy(*order).limit(config.k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
     hits = ranked.join(view.of(chunks).select("file_id", "chunk_index", "content", "token_count"), ["file_id", "chunk_index"])
-    return cited(hits, view.of(files)).select("rank", *CITATION).orderBy("rank")
+    return cited(hits, view.of(files), config.metric).select("rank", *CITATION).orderBy("rank")
 
 
 def search_batch(chunks: DataFrame, queries: DataFrame, files: DataFrame, config: SearchConfig | None = None) -> DataFrame:
     """Many queries (query_id, query_vector, tenant_slug) against the chunks of their own tenants: query_id, rank and citations;
-    ties go by chunk_id."""
+    ties go by chunk_id. ``chunks`` is read three times, so it should be a written table and not vectors still to be made."""
     config = config or SearchConfig()
-    ids = chunks.select("tenant_slug", chunk_id().alias("chunk_id"), "embedding")
+    fit = of_model(chunks, config.model)
+    ids = fit.select("tenant_slug", chunk_id().alias("chunk_id"), "embedding")
     won = knn_batch(ids, queries, config.k, ("tenant_slug",), config.metric, id_col="chunk_id").where("distance is not null")
     if config.threshold is not None:
-        won = won.where(1 - F.col("distance") >= config.threshold)
-    texts = chunks.select(chunk_id().alias("chunk_id"), "file_id", "chunk_index", "content", "token_count")
+        won = won.where(similar_enough(config.metric, config.threshold))
+    texts = fit.select(chunk_id().alias("chunk_id"), "file_id", "chunk_index", "content", "token_count")
     hits = won.select("query_id", "rank", "distance", "chunk_id").join(texts, "chunk_id")
-    return cited(hits, files).select("query_id", "rank", *CITATION)
+    return cited(hits, files, config.metric).select("query_id", "rank", *CITATION)
 
 
 def answers(queries: DataFrame, sources: DataFrame, most: int = 3) -> DataFrame:

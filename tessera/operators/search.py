@@ -19,15 +19,26 @@ DISTANCES = {
     "dot": lambda a, b: -V.dot(a, b),
     "euclidean": V.euclidean,
 }
+#: Similarity by metric, from its distance: larger is nearer.
+SIMILARITIES = {
+    "cosine": lambda distance: 1 - distance,
+    "dot": lambda distance: -distance,
+    "euclidean": lambda distance: 1 / (1 + distance),
+}
 ROWS, QUERIES = 16_384, 4_096  # of a tile
 PAIRS = 1 << 16  # distances of a tile that are worked out at a time
 
 
+def similar_enough(metric: str, threshold: float) -> Column:
+    """Whether ``distance`` means a similarity of at least ``threshold``."""
+    return SIMILARITIES[metric](F.col("distance")) >= threshold
+
+
 def knn(vectors: DataFrame, query: Column, k: int = 10, metric: str = "cosine", threshold: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """The k rows nearest to one query vector, ties by id. ``threshold`` keeps cosine similarities of at least that."""
+    """The k rows nearest to one query vector, ties by id. ``threshold`` keeps similarities, of the metric's own kind, of at least that."""
     scored = vectors.withColumn("distance", F.round(DISTANCES[metric](F.col(vector_col), query), digits))
     if threshold is not None:
-        scored = scored.where(1 - F.col("distance") >= threshold)
+        scored = scored.where(similar_enough(metric, threshold))
     return scored.drop(vector_col).orderBy(F.asc_nulls_last("distance"), id_col).limit(k)
 
 
@@ -127,13 +138,6 @@ def citations(top: DataFrame, files: DataFrame) -> DataFrame:
     return top.join(files.select("file_id", "filename"), "file_id")
 
 
-def answer(sources: DataFrame, query_col: str, content_col: str = "content", rank_col: str = "rank", most: int = 3) -> DataFrame:
-    """An extractive answer per query: the first 200 characters of its best sources."""
-    best = sources.where(F.col(rank_col) <= most).groupBy(query_col).agg(F.sort_array(F.collect_list(F.struct(rank_col, content_col))).alias("s"))
-    text = F.concat(F.lit("Based on the documents: "), F.array_join(F.transform("s", lambda x: F.concat(F.substring(x[content_col], 1, 200), F.lit("..."))), " "))
-    return best.select(query_col, text.alias("answer"), F.size("s").cast("long").alias("n_sources"), F.when(F.size("s") > 0, 0.8).otherwise(0.0).alias("confidence"))
-
-
 def validate_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
     from tessera.functions.text import strip, token_count
 

@@ -11,12 +11,16 @@ from tessera.functions import text as X
 from tessera.functions import vector as V
 from tessera.operators import chunk as C
 from tessera.operators import embed as E
+from tessera.operators import ivf as IVF
+from tessera.operators import paging as PG
+from tessera.operators import quality as QG
 from tessera.operators import retrieve as R
 from tessera.operators import search as S
 from tessera.operators import stats as A
 from tessera.operators import sync as Y
 from tessera.operators import tenants as N
 from tessera.plans import tables as T
+from tessera.sources.shared import shared_folder, written
 from tessera.streaming.ingest import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +90,17 @@ def page_files(s, d):
     return S.page(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"], 2, 20)
 
 
+@query("SELECT file_id, file_path FROM files ORDER BY file_path, file_id LIMIT 20 OFFSET 20")
+def page_files_indexed(s, d):
+    """The same page from a sorted table, of which only the ranges that hold it are read."""
+    return PG.pages(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"], ranges=8).page(s, 2, 20)
+
+
+@query("SELECT file_id, file_path FROM files WHERE (file_path, file_id) > ('src12/', 0) ORDER BY file_path, file_id LIMIT 20")
+def page_after_key(s, d):
+    return PG.pages(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"], ranges=8).after(s, ("src12/", 0), 20)
+
+
 @query("SELECT file_id, sync_status, file_size FROM files ORDER BY file_id DESC LIMIT 10")
 def recent_files(s, d):
     return T.files(s, d).select("file_id", "sync_status", "file_size").orderBy(F.desc("file_id")).limit(10)
@@ -222,6 +237,33 @@ def quality_violations(s, d):
     return Y.violations(T.files(s, d))
 
 
+def _rules_sql(entity: str, key: str, source: str, rules: list[tuple[str, str]], required: list[str]) -> str:
+    cases = [f"CASE WHEN NOT ({test}) THEN '{name}' END" for name, test in rules] + [f"CASE WHEN {c} IS NULL THEN '{c}_present' END" for c in required]
+    return f"SELECT '{entity}' AS entity, CAST({key} AS VARCHAR) AS id, array_to_string(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL), ',') AS broken FROM {source}"
+
+
+_QUARANTINE = " UNION ALL ".join((
+    _rules_sql("files", "file_id", "files", [("file_size_positive", "file_size > 0"), ("sync_status_known", "sync_status IN ('pending', 'processing', 'synced', 'failed', 'deleted')")], ["tenant_slug", "file_path", "file_hash"]),
+    _rules_sql("chunks", "file_id", "(SELECT file_id, tenant_slug, chunk_index - CASE WHEN file_id % 50 = 0 THEN 1 ELSE 0 END AS chunk_index, CASE WHEN file_id % 70 = 0 THEN 0 ELSE token_count END AS token_count, content FROM chunks)", [("chunk_index_non_negative", "chunk_index >= 0"), ("token_count_positive", "token_count > 0")], ["tenant_slug", "chunk_index", "content"]),
+    _rules_sql("runs", "run_id", "(SELECT run_id, tenant_slug, CASE run_id % 40 WHEN 3 THEN 'odd_sync' WHEN 4 THEN NULL ELSE 'delta_sync' END AS operation_type, status, duration - 1 AS progress_percentage, run_id % 60 - 1 AS current_file_index, run_id % 80 - 1 AS total_files FROM runs)",
+        [("operation_type_known", "operation_type IN ('full_sync', 'delta_sync', 'file_sync')"), ("status_known", "status IN ('running', 'completed', 'failed', 'cancelled')"), ("progress_in_range", "progress_percentage BETWEEN 0 AND 100"), ("current_file_index_non_negative", "current_file_index >= 0"), ("total_files_non_negative", "total_files >= 0")], ["tenant_slug", "operation_type"]),
+))
+
+
+@query(f"SELECT * FROM ({_QUARANTINE}) WHERE broken <> ''")
+def quarantine(s, d):
+    """Rows of files, chunks and runs with the checks they break. Chunks and runs get some values that do."""
+    at = F.col("file_id")
+    chunks = T.chunks(s, d).withColumns({"chunk_index": F.col("chunk_index") - F.when(at % 50 == 0, 1).otherwise(0), "token_count": F.when(at % 70 == 0, F.lit(0)).otherwise(F.col("token_count"))})
+    run = F.col("run_id")
+    runs = T.runs(s, d).withColumns({
+        "operation_type": F.when(run % 40 == 3, "odd_sync").when(run % 40 != 4, "delta_sync"), "progress_percentage": F.col("duration") - 1,
+        "current_file_index": run % 60 - 1, "total_files_to_process": run % 80 - 1,
+    })
+    bad = lambda rows, table, key: QG.marked(rows, table).where(F.size("broken") > 0).select(F.lit(table).alias("entity"), F.col(key).cast("string").alias("id"), F.array_join("broken", ",").alias("broken"))
+    return bad(T.files(s, d), "files", "file_id").union(bad(chunks, "chunks", "file_id")).union(bad(runs, "runs", "run_id"))
+
+
 # nearest neighbours
 
 _DOT = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[]))"
@@ -258,6 +300,12 @@ def knn_threshold(s, d):
     return _nearest(s, d, threshold=0.2)
 
 
+@query(_knn_sql(f"round(-{_DOT}, 6) + 0.0", f"WHERE round({_DOT}, 6) >= 0.2"), False)
+def knn_dot_threshold(s, d):
+    """The threshold is the product's own, not one of the cosine."""
+    return _nearest(s, d, metric="dot", threshold=0.2)
+
+
 @query(_knn_sql(_COS, "WHERE v.label = 3"), False)
 def knn_tenant(s, d):
     v = T.table(s, d, "embeddings")
@@ -299,6 +347,19 @@ def knn_batch_tenant_hundredth(s, d):
     return _batch(s, d, ("label",), "vec_id % 100 = 0")
 
 
+def knn_ivf(s, d):
+    """Every hundredth row against all through an inverted file, with as many lists probed as a recall of 0.95 on a bounded set of queries needs; approximate, so
+    without SQL: tests measure its recall against ``knn_batch_hundredth``."""
+    v = T.table(s, d, "embeddings")
+    index = IVF.build(v, shared_folder(s, "ivf"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    probes, _ = index.probes_for(q, 0.95)
+    return index.search(q, 5, probes).withColumn("distance", F.col("distance") + F.lit(0.0))
+
+
+QUERIES["knn_ivf"] = knn_ivf
+
+
 @query("""SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM
 (SELECT doc_id, CAST(('0x' || substr(md5(lower(x)), 1, 8)) AS BIGINT) % 384 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(w) AS x FROM worded) GROUP BY 1, 2)""")
 def hash_embed(s, d):
@@ -315,7 +376,8 @@ def answer_extract(s, d):
 
     rank = F.row_number().over(Window.partitionBy("tenant_slug").orderBy(F.desc("token_count"), "file_id", "chunk_index"))
     top = T.chunks(s, d).withColumn("rank", rank).where("rank <= 3").withColumnRenamed("tenant_slug", "query_id")
-    return S.answer(top, "query_id")
+    top = written(top, "top")
+    return R.answers(top, top).drop("method")
 
 
 @query("""SELECT file_id, chunk_index, token_count, filename FROM (SELECT * FROM chunks ORDER BY token_count DESC, file_id, chunk_index LIMIT 10) JOIN files USING (file_id)""")
@@ -435,8 +497,16 @@ def _asked(s, d):
 
 
 def _found(s, d, k=5, threshold=None):
-    vectors = E.embed(T.chunks(s, d).drop("chunk_hash"), double=True)
-    return R.search_batch(vectors, _asked(s, d).drop("query"), T.files(s, d), R.SearchConfig(k=k, threshold=threshold))
+    return _search(s, d, _vectors(s, d), k, threshold)
+
+
+def _vectors(s, d):
+    """The corpus is embedded once; whatever asks of it reads the written vectors."""
+    return written(E.embed(T.chunks(s, d).drop("chunk_hash"), double=True), "vectors")
+
+
+def _search(s, d, vectors, k=5, threshold=None):
+    return R.search_batch(vectors, written(_asked(s, d).drop("query"), "asked"), T.files(s, d), R.SearchConfig(k=k, threshold=threshold))
 
 
 @query(_ASKED.format(k=5) + """ SELECT query_id, rank, chunk_id, file_id, filename, chunk_index, sha256(content) AS content_hash, token_count, round(greatest(0.0, least(1.0, 1 - distance)), 6) AS score,
@@ -466,7 +536,8 @@ def source_names(s, d):
 @query(_ASKED.format(k=5) + """ SELECT query_id, count(*) AS n_first, count(*) FILTER (WHERE rank <= 3) AS n_second, count(*) FILTER (WHERE rank <= 3) AS n_both,
 round(CAST(count(*) FILTER (WHERE rank <= 3) AS DOUBLE) / count(*), 6) AS overlap FROM hits GROUP BY query_id""")
 def run_overlap(s, d):
-    return R.run_overlap(_found(s, d), _found(s, d, 3))
+    vectors = _vectors(s, d)
+    return R.run_overlap(_search(s, d, vectors), _search(s, d, vectors, 3))
 
 
 # lists, summaries and formats
@@ -477,6 +548,22 @@ def plan_lists(s, d):
     return Y.name_lists(delta_plan(s, d)).withColumn("paths", F.to_json("paths"))
 
 
+def _pages_sql(by: str, name: str, source: str) -> str:
+    nth = f"(row_number() OVER (PARTITION BY {by} ORDER BY {name}) - 1) // 50 + 1"
+    return f"SELECT {by}, page, to_json(list({name} ORDER BY {name})) AS names, any_value(n) AS total FROM (SELECT {by}, {name}, {nth} AS page, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {name} IS NOT NULL) GROUP BY {by}, page"
+
+
+@query(_pages_sql("change", "file_path", "plan"))
+def plan_list_pages(s, d):
+    """The plan's lists with at most fifty paths a row, so that no row grows with the plan."""
+    return PG.list_pages(delta_plan(s, d), ["change"], "file_path", 50, ranges=8).withColumn("names", F.to_json("names"))
+
+
+@query(_pages_sql("tenant_slug, sync_status", "filename", "files"))
+def status_list_pages(s, d):
+    return PG.list_pages(T.files(s, d), ["tenant_slug", "sync_status"], "filename", 50, ranges=8).withColumn("names", F.to_json("names"))
+
+
 @query("""SELECT change, any_value(n) AS n_files, to_json(list(file_path ORDER BY file_path)) AS paths, any_value(n) - count(*) AS n_more
 FROM (SELECT *, count(*) OVER (PARTITION BY change) AS n, row_number() OVER (PARTITION BY change ORDER BY file_path, tenant_slug) AS nth FROM plan) WHERE nth <= 10 GROUP BY change""")
 def change_preview(s, d):
