@@ -68,6 +68,13 @@ def status_mark(status: Column) -> Column:
     return F.coalesce(F.try_element_at(marks, status), F.lit("❓"))
 
 
+def merged(first: Column, second: Column) -> Column:
+    """Two maps as one; where both have a key the second's value counts. A null map counts as empty."""
+    none = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(first, none), F.coalesce(second, none)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+
 def spaced(name: Column) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" "))
 

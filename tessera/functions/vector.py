@@ -31,5 +31,10 @@ def literal(v: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in v))
 
 
+def floats(v: Column) -> Column:
+    """Any numbers as the vectors that tables keep."""
+    return v.cast("array<float>")
+
+
 def text_form(a: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ","), F.lit("]"))

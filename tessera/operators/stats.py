@@ -76,6 +76,15 @@ def tenant_summary(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return per.join(held, "tenant_slug", "left").withColumn("total_chunks", F.coalesce("total_chunks", F.lit(0).cast("long")))
 
 
+def holdings(tenants: DataFrame, files: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per tenant what hangs on it: files, chunks and runs, each counted before it meets the tenants."""
+    out = tenants.select("slug")
+    for name, rows in (("n_files", files), ("n_chunks", chunks), ("n_runs", runs)):
+        per = rows.groupBy(F.col("tenant_slug").alias("slug")).agg(F.count("*").alias(name))
+        out = out.join(per, "slug", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out
+
+
 def most_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Tenants with their chunks, most first; those without chunks too."""
     held = chunks.groupBy("tenant_slug").agg(F.count("*").alias("n_chunks"))

@@ -38,6 +38,24 @@ def require_admin(view: TenantView) -> None:
         raise PermissionError("admin only")
 
 
+def by_creation(tenants: DataFrame) -> DataFrame:
+    """Tenants in the order they came, those without a time last."""
+    return tenants.orderBy(F.asc_nulls_last("created_at"), "slug")
+
+
+def with_total(tenants: DataFrame) -> DataFrame:
+    """Each tenant beside the number of all."""
+    return tenants.join(F.broadcast(tenants.agg(F.count("*").alias("total"))))  # one row
+
+
+def only(rows: DataFrame, condition: Column) -> DataFrame:
+    """The one row that the condition holds for, or none; that it holds for more is an error when the result is read."""
+    found = rows.where(condition).limit(2)
+    n = found.agg(F.count("*").alias("__n"))
+    checked = found.join(F.broadcast(n)).withColumn("__ok", F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one row"))).otherwise(F.lit(True)).cast("boolean"))
+    return checked.where("__ok").select(*rows.columns)
+
+
 def present(files: DataFrame) -> DataFrame:
     """Rows that are not marked as deleted."""
     return files.where(F.col("deleted_at").isNull())

@@ -31,9 +31,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an earlier run knew: a tenth is missing, a tenth had other bytes, a tenth has since gone."""
+    """What an earlier run knew: a tenth is missing, a tenth had other bytes, a tenth has since gone; those left are in every state."""
     f = files(spark, sf_dir)
-    old = f.where("file_id % 10 <> 0").withColumn("file_hash", F.when(F.col("file_id") % 10 == 1, F.reverse("file_hash")).otherwise(F.col("file_hash")))
+    old = f.where("file_id % 10 <> 4").withColumn("file_hash", F.when(F.col("file_id") % 10 == 1, F.reverse("file_hash")).otherwise(F.col("file_hash")))
     gone = f.where("file_id % 10 = 2").withColumns({"file_id": F.col("file_id") + 10**9, "file_path": F.concat("file_path", F.lit(".old"))})
     return old.unionByName(gone)
 
@@ -56,7 +56,7 @@ cut AS (SELECT *, unnest(CASE WHEN len(w) > 512 THEN range(0, len(w) - 50, 462)
 chunks AS (SELECT doc_id AS file_id, source AS tenant_slug, CAST(s // 462 AS INTEGER) AS chunk_index,
   CASE WHEN len(w) <= 512 THEN text ELSE array_to_string(w[s + 1:s + 512], ' ') END AS content, CAST(least(len(w) - s, 512) AS BIGINT) AS token_count FROM cut),
 registry AS (SELECT file_id, tenant_slug, filename, file_path, file_size, CASE WHEN file_id % 10 = 1 THEN reverse(file_hash) ELSE file_hash END AS file_hash, sync_status
-  FROM files WHERE file_id % 10 <> 0 UNION ALL SELECT file_id + 1000000000, tenant_slug, filename, file_path || '.old', file_size, file_hash, sync_status FROM files WHERE file_id % 10 = 2),
+  FROM files WHERE file_id % 10 <> 4 UNION ALL SELECT file_id + 1000000000, tenant_slug, filename, file_path || '.old', file_size, file_hash, sync_status FROM files WHERE file_id % 10 = 2),
 plan AS (SELECT coalesce(f.tenant_slug, r.tenant_slug) AS tenant_slug, coalesce(f.file_path, r.file_path) AS file_path, f.file_hash AS new_hash, f.file_size AS new_size,
   r.file_hash AS old_hash, r.sync_status AS old_status, CASE WHEN r.file_path IS NULL THEN 'new' WHEN f.file_path IS NULL THEN 'deleted'
   WHEN f.file_hash IS DISTINCT FROM r.file_hash THEN 'updated' ELSE 'unchanged' END AS change

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import decode
+from tessera.sources import hadoop
 from tessera.sources.folders import hashed, tree
 
 LISTING = "file_path string, file_size long"
@@ -97,3 +98,22 @@ def env_with(current: DataFrame, changes: DataFrame) -> DataFrame:
     """The settings after ``changes``: given values replace, new keys are added."""
     fresh = changes.select(F.col("key"), F.col("value").alias("__new"))
     return current.join(fresh, "key", "full_outer").select("key", F.coalesce("__new", "value").alias("value"))
+
+
+def write_env_file(spark: SparkSession, path: str, changes: dict[str, str]) -> None:
+    """Writes changed settings back: a key's line gets its new value, new keys are added at the end, and comments, blank lines
+    and the order stay. The file is made where it is missing."""
+    for k, v in changes.items():
+        if not k.strip() or "=" in k or any(c in k + v for c in "\r\n") or k.strip().startswith("#"):
+            raise ValueError(f"no setting: {k!r}")
+    lines = hadoop.read_text(spark, path).splitlines() if hadoop.exists(spark, path) else []
+    left, out = dict(changes), []
+    for line in lines:
+        key = line.split("=", 1)[0].strip()
+        setting = "=" in line and not line.strip().startswith("#")
+        if setting and key in changes:
+            if key in left:
+                out.append(f"{key}={left.pop(key)}")
+            continue  # a key that stands twice is written once
+        out.append(line)
+    hadoop.write_text(spark, path, "".join(f"{x}\n" for x in [*out, *(f"{k}={v}" for k, v in left.items())]))
