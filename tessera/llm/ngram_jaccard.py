@@ -18,11 +18,13 @@
    bitmap that grows with the set and then exactly.
 
 Edge cases: null and empty texts have an empty set and link with nothing; fewer than ``k`` words make
-one shingle; a row without an id has no component; rows that repeat an id share its component; extra
-columns are ignored; an empty table gives no rows."""
+one shingle; a row without an id has no component; rows that repeat an id are one document with the links of all
+their texts, and each has its own set's size; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
 from tessera.llm.components import components
+from tessera.llm.rowkeys import numbered, repeats_ids
 from tessera.llm.scratch import drop, partitions, stash
 from tessera.llm.tasks import lean
 
@@ -405,11 +408,13 @@ def _tiles(percent: int, nearest: bool):
     return run
 
 
-def _among(table: DataFrame, listed: DataFrame, *columns: str) -> DataFrame:
-    """The rows whose ``columns``, or id, are listed; a short list goes to the rows, or both are shuffled."""
+def _among(table: DataFrame, listed: DataFrame, name: str, *columns: str, then: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
+    """The rows whose ``columns``, or id, are listed, after ``then``, stashed; a short list goes to the rows, or both are shuffled."""
     on = list(columns) or ["id"]
     listed = stash(listed.select(*on).distinct(), "listed")
-    return table.join(_counted(listed), on, "left_semi")
+    found = stash(then(table.join(_counted(listed), on, "left_semi")), name)
+    drop(listed)
+    return found
 
 
 def _counted(listed: DataFrame) -> DataFrame:
@@ -419,11 +424,8 @@ def _counted(listed: DataFrame) -> DataFrame:
 def _decide(pairs: DataFrame, named: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) -> those that link."""
     bit_cols = [f"b{j}" for j in range(WORDS)]
-
-    def of(table: DataFrame, asked: DataFrame) -> DataFrame:
-        return _among(table, asked.select(F.explode(F.array("a", "b")).alias("id"))).dropDuplicates(["id"])
-
-    small = stash(of(named.select("id", "n", "s1", "s2", *bit_cols), pairs), "small")
+    ends = lambda asked: asked.select(F.explode(F.array("a", "b")).alias("id"))
+    small = _among(named.select("id", "n", "s1", "s2", *bit_cols), ends(pairs), "small")
     a, b = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
     total, less = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
@@ -433,25 +435,49 @@ def _decide(pairs: DataFrame, named: DataFrame, texts: DataFrame, k: int, percen
     judged = stash(both.select("a", "b", same.alias("same"), bound.alias("may")).where("same or may"), "judged")
     drop(small)
     unsure = judged.where("not same").select("a", "b")
-    sets = stash(of(texts, unsure).mapInArrow(lean(_sets(k)), "id long, n long, wide binary, set binary"), "sets")
+    sets = _among(texts, ends(unsure), "sets", then=lambda found: found.mapInArrow(lean(_sets(k)), "id long, n long, wide binary, set binary"))
     wide_a, wide_b = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
     close = unsure.join(wide_a, "a").join(wide_b, "b").select("a", "b", "wide_a", "wide_b", (F.col("n_a") + F.col("n_b")).alias("total"))
     close = stash(close.mapInArrow(lean(_may(percent)), "a long, b long"), "close")
-    full = of(sets.select("id", "set"), close)
+    full = _among(sets.select("id", "set"), ends(close), "full")
     met = close.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     exact = met.select("a", "b", "x", "y").mapInArrow(lean(_exact(percent)), "a long, b long")
     linked = stash(judged.where("same").select("a", "b").union(exact), "linked")
-    drop(judged, sets, close)
+    drop(judged, sets, close, full)
     return linked
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(sizes: id, n; groups: node, component) for the documents whose shingle sets link at ``percent`` Jaccard."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = every.where("id is not null")
+    shape = "id long, n long, s1 long, s2 long, " + ", ".join(f"b{j} long" for j in range(WORDS)) + ", keys array<long>"
+    features = lambda rows: rows.mapInArrow(lean(_features(k, percent)), shape)
+    if not repeats_ids(known):
+        feats, groups = _grouped(known, features, k, percent)
+        sizes = stash(feats.select("id", "n").union(features(every.where("id is null")).select("id", "n")), "sizes")
+        drop(feats)
+        return sizes, groups
+    rows = numbered(known)
+    first = rows.groupBy("id").agg(F.min("key").alias("b"))
+    one = rows.select("id", F.col("key").alias("a")).join(first, "id").where("a <> b").select("a", "b")  # rows of one id belong together
+    feats, groups = _grouped(rows.select(F.col("key").alias("id"), "text"), features, k, percent, one)
+    drop(feats)
+    of = rows.select("key", "id")
+    node = groups.join(of.withColumnRenamed("key", "node").withColumnRenamed("id", "own"), "node")
+    both = node.join(of.withColumnRenamed("key", "component").withColumnRenamed("id", "to"), "component")  # the least key has the least id
+    named = stash(both.select(F.col("own").alias("node"), F.col("to").alias("component")).distinct(), "groups")
+    drop(rows)
+    return stash(features(every).select("id", "n"), "sizes"), named
+
+
+def _grouped(texts: DataFrame, features: Callable[[DataFrame], DataFrame], k: int, percent: int, known_links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the stashed features of all rows, groups) for texts whose ids differ."""
+    spark = texts.sparkSession
     bit_cols = [f"b{j}" for j in range(WORDS)]
-    feats = stash(texts.mapInArrow(lean(_features(k, percent)), "id long, n long, s1 long, s2 long, " + ", ".join(f"{b} long" for b in bit_cols) + ", keys array<long>"), "features")
-    named = feats.where("id is not null and n > 0")
+    # by id, so that what later asks for some ids' keys or bitmaps is sent to them and not they to it
+    feats = stash(features(texts).repartition(partitions(spark), "id"), "features", "id")
+    named = feats.where("n > 0")
     held = named.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
     buckets = max(2 * partitions(spark), -(-8 * held // BUCKET))
     sent = named.select("id", "s1", "s2", "n", "keys").mapInArrow(lean(_send(buckets)), "bucket int, keys binary, ids binary, leads binary")
@@ -466,20 +492,20 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leads = met.where("count > 0").groupBy("id", "lead").agg(F.sum("count").alias("count")).groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
     star = stash(leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "star")
     linked = _decide(star, named, texts, k, percent)
-    groups = components(linked.union(copies).union(equal))
+    links = linked.union(copies).union(equal)
+    groups = components(links if known_links is None else links.union(known_links))
     drop(star, linked, met)
 
     # equal sets are compared once, so the first of each stands for all in tiles
     own = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    first = named.select("id", "keys").join(lone.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    keyed = stash(first.join(own, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "keys", "id"), "keyed")
-    sent = keyed.select("comp", "keys").mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, comps binary")
+    first = named.select("id", "keys").join(lone.select(F.col("rep").alias("id")), "id", "left_semi")
+    sent = first.join(own, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "keys").mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, comps binary")
     torn = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "bucket int, short long"), "torn")
-    held_by = keyed.select("id", F.explode("keys").alias("key"))
     bucket, short = (F.shiftrightunsigned("key", 11) % buckets).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 8 * KEY) - 1))
-    member = stash(_among(held_by.withColumns({"bucket": bucket, "short": short}), torn, "bucket", "short").select("id", "key").distinct(), "members")
-    drop(lone, keyed, torn)
-    small = stash(_among(named.select("id", "n", *bit_cols), member).dropDuplicates(["id"]), "small")
+    held_by = first.select("id", F.explode("keys").alias("key")).withColumns({"bucket": bucket, "short": short})
+    member = _among(held_by, torn, "members", "bucket", "short", then=lambda found: found.select("id", "key").distinct())
+    drop(lone, torn)
+    small = _among(named.select("id", "n", *bit_cols), member, "small")
     nearest = True
     while True:
         own = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
@@ -509,9 +535,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         drop(member, small, ids, cross, more)
         member, small = kept
         nearest = linked
-    sizes = stash(feats.select("id", "n"), "sizes")
-    drop(feats, member, small)
-    return sizes, groups
+    drop(member, small)
+    return feats, groups
 
 
 def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:

@@ -20,8 +20,9 @@ hold costs one entry per task. A prefix with many names in a task is spread over
 strings go one by one to the buckets of their own hashes. The number of buckets follows the table's bytes.
 
 Positions are ordered by (id, offset). Edge cases: a null text counts as empty; a null id sorts last;
-rows that repeat an id share its repeats, and a position isn't earlier than itself; texts under
-``length`` bytes lose nothing; extra columns are ignored; an empty table gives no rows."""
+rows that repeat an id (or have none) are told apart by their texts and come in the order of these texts' hashes, so each loses
+its own repeats only; rows that repeat id and text are one document; texts under ``length`` bytes lose nothing; extra
+columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
+from tessera.llm.rowkeys import numbered, repeats_ids
 from tessera.llm.scratch import drop, partitions, stash
 from tessera.llm.tasks import lean
 
@@ -401,6 +403,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     if not 64 <= length <= 155:
         raise ValueError("length must lie in 64..155 bytes")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # where ids repeat, numbers that follow (id, text) stand for them from here on
+    rows = numbered(texts) if repeats_ids(texts) else None
+    if rows is not None:
+        texts = rows.select(F.col("key").alias("id"), "text")
     bytes_held = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(2 * partitions(docs.sparkSession), -(-bytes_held // BUCKET))
     sent = texts.where(F.octet_length("text") >= length).mapInArrow(lean(_send_cover(length, buckets)), _SENT)
@@ -415,7 +421,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     per = starts.groupBy("id").agg(F.collect_list("start").alias("starts"))
     both = hit.join(per, "id", "left").select("id", F.xxhash64("text").alias("same"), "text", "marks", "starts")
     cut = both.mapInArrow(lean(_cut(length, whole_chars)), "id long, same long, n_removed long, n_spans long, kept binary")
-    return cut.where("n_removed > 0").dropDuplicates(["id", "same"]), [hit, starts]
+    lost = cut.where("n_removed > 0")
+    if rows is None:
+        return lost, [hit, starts]
+    return lost.drop("same").withColumnRenamed("id", "key").join(rows.select("key", "id", "same"), "key").drop("key"), [hit, starts, rows]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:

@@ -133,7 +133,7 @@ def _score(model: Bags):
                 s, e, p = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a)
                 s[row[top]], e[row[top]], p[row[top]] = chars[start[top]] - chars[off[row[top]]], chars[end[top]] - chars[off[row[top]]], sigmoid(z[top])
                 none = np.bincount(row, minlength=b - a) == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.clip(score, 0, 1)), pa.array(bad), pa.array(s, mask=none), pa.array(e, mask=none), pa.array(p, mask=none), located], ["id", "score", "n_offending", "worst_start", "worst_end", "worst_score", "sentences"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.clip(score, 0, 1) + 0.0), pa.array(bad), pa.array(s, mask=none), pa.array(e, mask=none), pa.array(p, mask=none), located], ["id", "score", "n_offending", "worst_start", "worst_end", "worst_score", "sentences"])
 
     return run
 
