@@ -3,7 +3,7 @@
 Documents become token counts (plus one end token), those over the capacity are cut into full pieces
 with the rest in front. Every partition packs its own pieces best-fit decreasing, and bins that are
 nearly full are final. Underfull bins travel on as items: FAN_IN partitions merge and best-fit again, until
-one is left or a round makes no fewer bins. A round's partitions hold a bounded number of bins, so no task holds all.
+one is left, or neither partitions nor bins get fewer. A round's partitions hold a bounded number of bins, so no task holds all.
 
 Edge cases: a null text is one end token; a byte that is no UTF-8 is read as U+FFFD; a null id stays null; rows that repeat an id are packed each;
 extra columns are ignored; an empty table gives no rows."""
@@ -147,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         if not under:
             break
         parts = max(1, -(-under // AT_ONCE), -(-now // FAN_IN))
-        last = parts == 1 or (before is not None and under >= before)  # the last round deals anew what has not met, and ends all bins
+        last = parts == 1 or (parts >= now and before is not None and under >= before)  # the last round deals anew what has not met, and ends all bins
         before = under
         left = packed.where("not done").select("fill", "items").repartition(parts)
         number += 1

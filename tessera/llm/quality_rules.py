@@ -5,8 +5,8 @@ over all rows (3^8 = 6561 at most come to the driver); expectation-maximisation
 how often each rule votes what on good and on bad texts, and Bayes' rule gives every text its posterior
 probability of being good, which decides in place of demanding that every rule passes.
 
-Edge cases: null and empty texts have no words and fail the base; a text in which no rule votes gets the
-prior; rows without or with a repeated id are judged each; extra columns are ignored; no rows give no rows."""
+Edge cases: null and empty texts have no words and fail the base; an abstention is evidence too, so a text in which no rule
+votes gets what all eight abstentions together say; rows without or with a repeated id are judged each; extra columns are ignored; no rows give no rows."""
 
 from __future__ import annotations
 
