@@ -34,6 +34,17 @@ def sums_before(a: Column) -> Column:
     return let(a, lambda v: F.when(F.size(v) > 0, some(v)).otherwise(F.array().cast("array<bigint>")))
 
 
+def totals(a: Column) -> Column:
+    """array<struct<value, n>> with the ``n`` of equal values added up, by value."""
+
+    def sums(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["value"] != F.get(s, i - 2)["value"]))
+        n = lambda h, i, at: F.aggregate(F.slice(s, h, F.coalesce(F.get(at, i + 1), F.size(s) + 1) - h), F.lit(0).cast("long"), lambda t, x: t + x["n"])
+        return let(heads, lambda at: F.transform(at, lambda h, i: F.struct(F.element_at(s, h)["value"].alias("value"), n(h, i, at).alias("n"))))
+
+    return let(F.sort_array(a), lambda s: F.when(F.size(s) > 0, sums(s)))
+
+
 def tally(a: Column) -> Column:
     """array<struct<value, n>>: how often each value of ``a`` is there, by value."""
 

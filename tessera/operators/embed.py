@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let, tally
+from tessera.functions.arrays import let, tally, totals
 from tessera.functions.text import BLANKS
 from tessera.operators.chunk import MODELS
 
@@ -91,7 +91,9 @@ def encode_query(query: str, model: str = "all-MiniLM-L6-v2") -> list[float]:
 def hash_embed(docs: DataFrame, tokens: Column, id_col: str = "doc_id", dims: int = 384) -> DataFrame:
     """(id, bucket, weight): the hashing embedder's vectors as sparse rows. Each row is counted by itself, without a shuffle;
     a row without tokens gives none."""
-    bucket = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(F.lower(t).cast("binary")), 1, 8), 16, 10).cast("long") % dims))
+    place = lambda word: F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long") % dims
+    words = tally(F.transform(tokens, F.lower))  # a word that comes again is hashed once
+    bucket = F.transform(words, lambda x: F.struct(place(x["value"]).alias("value"), x["n"].cast("long").alias("n")))
     squares = lambda t: F.sqrt(F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"]).cast("double"))
-    weighed = let(tally(bucket), lambda t: let(squares(t), lambda norm: F.transform(t, lambda x: F.struct(x["value"].alias("bucket"), F.round(x["n"] / norm, 6).alias("weight")))))
+    weighed = let(totals(bucket), lambda t: let(squares(t), lambda norm: F.transform(t, lambda x: F.struct(x["value"].alias("bucket"), F.round(x["n"] / norm, 6).alias("weight")))))
     return docs.select(id_col, F.explode(weighed).alias("x")).select(id_col, "x.*")

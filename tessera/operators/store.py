@@ -87,10 +87,10 @@ class Store:
         return ran
 
     def _run(self, run_id: str, lease: Lease, tenant: str, snapshot: DataFrame, config: ChunkConfig, force: bool, retry: bool) -> tuple[Ran, dict[str, str]]:
-        own = snapshot.where(F.col("tenant_slug") == tenant)
+        own = self._own(snapshot, tenant)
         changes, outcome = Observation(), Observation()
         per = [F.count_if(F.col("change") == c).alias(c) for c in ("new", "updated", "deleted")]
-        todo = Y.plan(own, self.registry().where(F.col("tenant_slug") == tenant), force, retry).where("change <> 'unchanged'")
+        todo = Y.plan(own, self._own(self.registry(), tenant), force, retry).where("change <> 'unchanged'")
         planned = written(todo.select(*Y.KEY, "change").observe(changes, *per), "plan")
         changed = planned.where(F.col("change").isin("new", "updated"))
         pieces = written(Y.pieces_of(own.join(changed.select(*Y.KEY), Y.KEY, "left_semi"), config), "pieces")
@@ -108,3 +108,32 @@ class Store:
         plan_counts, seen = changes.get, outcome.get if rewritten else {}
         counts = {"files_processed": seen.get("files", 0), "files_added": plan_counts["new"], "files_updated": plan_counts["updated"], "files_deleted": plan_counts["deleted"], "chunks_created": seen.get("chunks", 0)}
         return Ran("completed", run_id, counts, embedded, rewritten), {e: str(seen[e]) for e in ERRORS if seen.get(e)}
+
+    def _own(self, rows: DataFrame, tenant: str) -> DataFrame:
+        return rows.where(F.col("tenant_slug") == tenant)
+
+    def delete(self, tenant: str, paths: DataFrame) -> int:
+        """Takes the files of ``paths`` (file_path) and their chunks away; gives the number of buckets rewritten."""
+        with self.lease(tenant).held() as lease:
+            gone = written(self._own(self.registry(), tenant).join(paths.select("file_path"), "file_path", "left_semi").select("file_path"), "gone")
+            lease.check()
+            n = self._chunks.replace(self.spark.createDataFrame([], CHUNKS), gone, {"tenant_slug": tenant})
+            return n + self._files.replace(self.spark.createDataFrame([], FILES), gone, {"tenant_slug": tenant})
+
+    def clean(self, tenant: str) -> int:
+        """Takes the tenant's chunks without a file away and gives their number."""
+        with self.lease(tenant).held() as lease:
+            lost = written(Y.orphans(self._own(self._chunks.read(), tenant), self._own(self.registry(), tenant), "file_path").select("file_path"), "orphans")
+            n = lost.count()
+            lease.check()
+            self._chunks.replace(self.spark.createDataFrame([], CHUNKS), lost, {"tenant_slug": tenant})
+            return n
+
+    def reset_failed(self, tenant: str) -> int:
+        """The tenant's failed files become pending, without their error; gives their number."""
+        with self.lease(tenant).held() as lease:
+            failed = written(self._own(self.registry(), tenant).where("sync_status = 'failed'"), "failed")
+            n = failed.count()
+            lease.check()
+            self._files.replace(Y.reset_failed(failed), failed, {"tenant_slug": tenant})
+            return n

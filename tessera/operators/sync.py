@@ -142,8 +142,10 @@ def set_status(files: DataFrame, condition, status: str, error: str | None = Non
     """Rewrites the status where the condition holds; the error is cleared unless given."""
     if status not in STATUSES:
         raise ValueError(f"unknown status {status}")
-    out = files.withColumn("sync_status", F.when(condition, status).otherwise(F.col("sync_status")))
-    return out.withColumn("sync_error", F.when(condition, F.lit(error)).otherwise(F.col("sync_error"))) if "sync_error" in files.columns else out
+    new = {"sync_status": F.when(condition, status).otherwise(F.col("sync_status"))}
+    if "sync_error" in files.columns:  # in the same step, since the condition may look at the old status
+        new["sync_error"] = F.when(condition, F.lit(error)).otherwise(F.col("sync_error"))
+    return files.withColumns(new)
 
 
 def reset_failed(files: DataFrame) -> DataFrame:

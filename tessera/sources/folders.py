@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
@@ -20,6 +20,7 @@ from tessera.sources.shared import remove, shared_folder
 ENTRY = "path string, is_dir boolean, file_size long, modified timestamp"
 ROWS = 10_000  # entries of a batch
 BLOCK = 1 << 20  # bytes read at a time
+HELD = 8 << 20  # bytes of files that a task passes on together
 TASKS = 200  # tasks of a level, at most; fewer for few folders
 
 
@@ -99,27 +100,42 @@ def tree(spark: SparkSession, root: str, deepest: int = 1000) -> DataFrame:
     return spark.read.schema(ENTRY + ", level int").parquet(base).where("not is_dir").select("path", "file_size", "modified")
 
 
+def _digest(open_file: Callable, with_bytes: bool) -> tuple[str, bytes]:
+    """SHA-256 and, on request, the bytes; a file that cannot be read has neither."""
+    digest, parts = hashlib.sha256(), []
+    try:
+        with open_file() as f:
+            while block := f.read(BLOCK):
+                digest.update(block)
+                if with_bytes:
+                    parts.append(block)
+    except OSError:
+        return "", b""
+    return digest.hexdigest(), b"".join(parts)
+
+
 def _read(base: str, with_bytes: bool):
+    names = ["file_hash", *(["content"] if with_bytes else [])]
+
     def run(batches):
         local = _local(base)
         if local is None:
             from pyarrow import fs
 
             system, top = fs.FileSystem.from_uri(base)
+
+        def opener(path):
+            return (lambda: open(os.path.join(local, path), "rb")) if local is not None else lambda: system.open_input_stream(f"{top.rstrip('/')}/{path}")
+
         for batch in batches:
+            start, held, found = 0, 0, []
             for i, path in enumerate(batch.column(0).to_pylist()):
-                digest, parts = hashlib.sha256(), []
-                try:
-                    with open(os.path.join(local, path), "rb") if local is not None else system.open_input_stream(f"{top.rstrip('/')}/{path}") as f:
-                        while block := f.read(BLOCK):
-                            digest.update(block)
-                            if with_bytes:
-                                parts.append(block)
-                    found = digest.hexdigest(), b"".join(parts)
-                except OSError:
-                    found = "", b""  # unreadable files stay, without a hash
-                more = [pa.array([found[0]])] + ([pa.array([found[1]], pa.large_binary()).cast(pa.binary())] if with_bytes else [])
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), *more], [*batch.schema.names, "file_hash", *(["content"] if with_bytes else [])])
+                found.append(_digest(opener(path), with_bytes))
+                held += len(found[-1][1])
+                if held >= HELD or i == batch.num_rows - 1:
+                    more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())][: len(names)]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(found)) for c in batch.columns), *more], [*batch.schema.names, *names])
+                    start, held, found = i + 1, 0, []
 
     return run
 

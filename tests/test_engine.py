@@ -203,3 +203,9 @@ def test_empty_statistics(spark):
     files = spark.createDataFrame([], "tenant_slug string, filename string, sync_status string")
     for f in (A.status_lists, A.busy_files, A.by_status):
         assert f(files).count() == 0
+
+
+def test_a_reset_file_loses_its_error(spark):
+    files = spark.createDataFrame([(1, "failed", "no text"), (2, "synced", None), (3, "failed", None)], "file_id long, sync_status string, sync_error string")
+    assert {tuple(r) for r in Y.reset_failed(files).collect()} == {(1, "pending", None), (2, "synced", None), (3, "pending", None)}
+    assert {tuple(r) for r in Y.set_status(files, F.col("file_id") == 2, "failed", "gone").collect()} == {(1, "failed", "no text"), (2, "failed", "gone"), (3, "failed", None)}

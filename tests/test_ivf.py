@@ -79,6 +79,16 @@ def test_every_row_is_kept_and_odd_rows_find_nothing(spark, tmp_path):
     assert none.search(q, 3).count() == 0
 
 
+def test_recall_of_the_registered_query(spark):
+    """Every hundredth row against all, as ``knn_batch_hundredth`` has it exactly."""
+    from tessera.plans.queries import QUERIES
+
+    for sf in (SF, SF.replace("sf0.001", "sf0.01")):
+        exact = QUERIES["knn_batch_hundredth"](spark, sf)
+        found = QUERIES["knn_ivf"](spark, sf)
+        assert found.count() == exact.count() and ivf.recall(found, exact) >= 0.9
+
+
 def test_refused_metric(vectors, tmp_path):
     with pytest.raises(ValueError, match="exactly"):
         ivf.build(vectors, str(tmp_path), metric="dot")

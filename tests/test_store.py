@@ -159,6 +159,23 @@ def test_two_models_of_one_length_do_not_mix(spark, tmp_path, monkeypatch):
     assert found("all-MiniLM-L6-v2") == ["x"] and found("other-model") == ["y"]
 
 
+def test_upkeep(spark, tmp_path):
+    """Deletion, orphans and failed files rewrite their own buckets and leave the other tenant alone."""
+    store = Store(spark, str(tmp_path), buckets=4, clock=Clock())
+    for tenant in ("a", "b"):
+        store.sync(tenant, snap(spark, {"x": "words enough to chunk", "y": "other words enough", "blank": " "}, tenant))
+    paths = spark.createDataFrame([("x",), ("nowhere",)], "file_path string")
+    assert store.delete("a", paths) == 2 and store.delete("a", paths) == 0
+    held = lambda df: sorted((r.tenant_slug, r.file_path) for r in df.collect())
+    assert held(store.chunks()) == [("a", "y"), ("b", "x"), ("b", "y")] and ("b", "x") in held(store.registry()) and ("a", "x") not in held(store.registry())
+    store._files.replace(store.registry().where("false"), spark.createDataFrame([("y",)], "file_path string"), {"tenant_slug": "a"})  # its chunk stays behind
+    assert store.clean("a") == 1 and store.clean("a") == 0 and held(store.chunks()) == [("b", "x"), ("b", "y")]
+    assert store.reset_failed("a") == 1 and store.reset_failed("a") == 0
+    assert {(r.tenant_slug, r.file_path, r.sync_status, r.sync_error) for r in store.registry().where("file_path = 'blank'").collect()} == {("a", "blank", "pending", None), ("b", "blank", "failed", "no text")}
+    with store.lease("b").held(), pytest.raises(Conflict):
+        store.reset_failed("b")
+
+
 def test_vector_store(spark, tmp_path):
     v = VectorStore(spark, str(tmp_path / "v"))
     t = spark.createDataFrame([("h1", "one"), ("h1", "one"), ("h2", "two"), (None, "none")], "chunk_hash string, content string")
