@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by an inverted file: lists of vectors around k-means centres, of which a search reads the nearest.
 
-The centres are fitted on a bounded sample (``SAMPLE`` rows with the smallest hashed ids); every row of the table is
+The centres are fitted on a sample whose size is set (of a larger table each row is drawn with the chance that gives ``SAMPLE`` rows on average); every row of the table is
 then put into the list of its nearest centre. The index is a Parquet table partitioned by list, so a search reads only
 the folders of the lists that its queries probe. Distances to what is read are those of ``search.knn_batch``, rounding
 and ties included: with all lists probed the results are equal, and ``knn_batch`` stays the exact way.
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import search as S
 
-SAMPLE = 100_000  # rows that the centres are fitted on, at most
+SAMPLE = 100_000  # rows that the centres are fitted on, about
 MOST_LISTS = 4096  # bounds what a search sends to each task
 ASKED = 256  # queries that probes are chosen on
 METRICS = ("cosine", "euclidean")
@@ -159,7 +159,8 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, metric: str =
     lists = min(lists or max(1, round(n**0.5)), MOST_LISTS)
     centres = np.zeros((1, width))
     if n:
-        some = fine.where(F.size(vector_col) == width).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+        some = fine.where(F.size(vector_col) == width)
+        some = some.sample(sample / n, seed=7) if n > sample else some  # drawn where the rows are: no task gathers the sample
         points = some.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")).repartition(spark.sparkContext.defaultParallelism).cache()
         model = KMeans(k=lists, maxIter=rounds, seed=7, distanceMeasure=metric, initMode="k-means||").fit(points) if lists > 1 else None
         centres = np.array(model.clusterCenters()) if model else np.zeros((1, width))

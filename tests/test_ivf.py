@@ -89,6 +89,12 @@ def test_recall_of_the_registered_query(spark):
         assert found.count() == exact.count() and ivf.recall(found, exact) >= 0.9
 
 
+def test_a_sample_fits_the_centres_and_every_row_is_listed(vectors, tmp_path):
+    index = ivf.build(vectors, str(tmp_path), lists=6, sample=60)
+    assert index.table(vectors.sparkSession).where("list >= 0").count() == vectors.where("embedding is not null").count()
+    assert rows(index.search(asked(vectors), 5, 6)) == rows(S.knn_batch(vectors, asked(vectors), 5))
+
+
 def test_refused_metric(vectors, tmp_path):
     with pytest.raises(ValueError, match="exactly"):
         ivf.build(vectors, str(tmp_path), metric="dot")
