@@ -94,12 +94,12 @@ def page_files(s, d):
 @query("SELECT file_id, file_path FROM files ORDER BY file_path, file_id LIMIT 20 OFFSET 20")
 def page_files_indexed(s, d):
     """The same page from a sorted table, of which only the ranges that hold it are read."""
-    return PG.pages(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"], ranges=8).page(s, 2, 20)
+    return PG.pages(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"]).page(s, 2, 20)
 
 
 @query("SELECT file_id, file_path FROM files WHERE (file_path, file_id) > ('src12/', 0) ORDER BY file_path, file_id LIMIT 20")
 def page_after_key(s, d):
-    return PG.pages(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"], ranges=8).after(s, ("src12/", 0), 20)
+    return PG.pages(T.files(s, d).select("file_id", "file_path"), ["file_path", "file_id"]).after(s, ("src12/", 0), 20)
 
 
 @query("SELECT file_id, sync_status, file_size FROM files ORDER BY file_id DESC LIMIT 10")
@@ -605,12 +605,12 @@ def _pages_sql(by: str, name: str, source: str) -> str:
 @query(_pages_sql("change", "file_path", "plan"))
 def plan_list_pages(s, d):
     """The plan's lists with at most fifty paths a row, so that no row grows with the plan."""
-    return PG.list_pages(delta_plan(s, d), ["change"], "file_path", 50, ranges=8).withColumn("names", F.to_json("names"))
+    return PG.list_pages(delta_plan(s, d), ["change"], "file_path", 50).withColumn("names", F.to_json("names"))
 
 
 @query(_pages_sql("tenant_slug, sync_status", "filename", "files"))
 def status_list_pages(s, d):
-    return PG.list_pages(T.files(s, d), ["tenant_slug", "sync_status"], "filename", 50, ranges=8).withColumn("names", F.to_json("names"))
+    return PG.list_pages(T.files(s, d), ["tenant_slug", "sync_status"], "filename", 50).withColumn("names", F.to_json("names"))
 
 
 @query("""SELECT change, any_value(n) AS n_files, to_json(list(file_path ORDER BY file_path)) AS paths, any_value(n) - count(*) AS n_more
