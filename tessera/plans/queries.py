@@ -390,8 +390,9 @@ def knn_batch_tenant(s, d):
 
 
 # the same under the names they had while the two above took fewer queries
-for _name in ("knn_batch", "knn_batch_tenant"):
-    QUERIES[f"{_name}_hundredth"], ORACLES[f"{_name}_hundredth"] = QUERIES[_name], ORACLES[_name]
+knn_batch_hundredth = QUERIES["knn_batch_hundredth"] = knn_batch
+knn_batch_tenant_hundredth = QUERIES["knn_batch_tenant_hundredth"] = knn_batch_tenant
+ORACLES |= {"knn_batch_hundredth": ORACLES["knn_batch"], "knn_batch_tenant_hundredth": ORACLES["knn_batch_tenant"]}
 
 
 @query(_BATCH.replace(_COS, "round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) + 0.0").format(on="true"), False)
@@ -476,7 +477,8 @@ def tenant_inventory(s, d):
     return A.inventory(T.tenants(s, d), T.files(s, d))
 
 
-QUERIES["tenant_inventory_all"], ORACLES["tenant_inventory_all"] = QUERIES["tenant_inventory"], ORACLES["tenant_inventory"]
+tenant_inventory_all = QUERIES["tenant_inventory_all"] = tenant_inventory
+ORACLES["tenant_inventory_all"] = ORACLES["tenant_inventory"]
 
 
 @query("SELECT f.tenant_slug, f.file_id, filename, count(c.file_id) AS n_chunks FROM files f LEFT JOIN chunks c ON f.file_id = c.file_id GROUP BY ALL")
