@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as X
-from tessera.llm.components import components
+from tessera.llm.components import BROADCAST_NODES, ROWS, components
 from tessera.llm.rowkeys import numbered, repeats_ids
 from tessera.llm.scratch import drop, partitions, stash
 from tessera.llm.tasks import lean
@@ -320,47 +320,47 @@ def _sets(k: int):
 
 
 def _may(percent: int):
-    """Keeps the pairs whose wide bitmaps, folded to the shorter length, allow enough overlap."""
+    """(pair, wide, wide, sizes' sum): keeps the pairs whose wide bitmaps, folded to the shorter length, allow enough overlap."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y, total in zip(batch.column(2), batch.column(3), batch.column(4).to_numpy(), strict=True):
+            for x, y, total in zip(*batch.columns[-3:-1], batch.columns[-1].to_numpy(), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 while len(a) != len(b):
                     a, b = (a, b) if len(a) > len(b) else (b, a)
                     a = a[: len(a) // 2] | a[len(a) // 2 :]
                 ham = int(np.bitwise_count(a ^ b).sum())
                 keep.append((100 + percent) * ((int(total) - ham) // 2) >= percent * int(total))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            yield batch.select(batch.schema.names[:-3]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _exact(percent: int):
-    """Keeps the pairs whose sorted arrays overlap enough."""
+    """(pair, set, set): keeps the pairs whose sorted arrays overlap enough."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(*batch.columns[-2:], strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 a, b = (a, b) if len(a) <= len(b) else (b, a)
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 both = int(np.count_nonzero(b[at] == a))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            yield batch.select(batch.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _tiles(percent: int, nearest: bool):
     """Rows sorted by (key, x, y): pairs of side x with side y from different components that bitmaps and sizes allow,
-    with their Hamming distance. ``nearest``: only the nearest for each row of the tile."""
+    with their components and Hamming distance. ``nearest``: only the nearest for each row of the tile."""
     far = np.int64(1 << 62)
 
-    def found(ids, p, q, ham):
-        return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(ham)], ["a", "b", "ham"])
+    def found(ids, comp, p, q, ham):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[p], ids[q], comp[p], comp[q], ham)], ["a", "b", "ca", "cb", "ham"])
 
     def pairs(key, side, ids, comp, n, bits):
         x, y = key[1], key[2]
@@ -377,19 +377,19 @@ def _tiles(percent: int, nearest: bool):
             ok = (comp[p][:, None] != comp[right][None, :]) & (100 * small >= percent * (total - small)) & ((100 + percent) * ((total - ham) // 2) >= percent * total)
             if not nearest:
                 u, v = np.nonzero(ok)
-                yield found(ids, p[u], right[v], ham[u, v])
+                yield found(ids, comp, p[u], right[v], ham[u, v])
                 continue
             if not ok.any():
                 continue
             ham = np.where(ok, ham << 32, far)
             at = np.argmin(ham, axis=1)
             u = np.flatnonzero(ham[np.arange(len(p)), at] < far)
-            yield found(ids, p[u], right[at[u]], ham[u, at[u]] >> 32)
+            yield found(ids, comp, p[u], right[at[u]], ham[u, at[u]] >> 32)
             if x != y:
                 best = np.minimum(best, (ham + np.where(ok, p[:, None], 0)).min(axis=0))
         v = np.flatnonzero(best < far)
         if len(v):
-            yield found(ids, right[v], best[v] & 0xFFFFFFFF, best[v] >> 32)
+            yield found(ids, comp, right[v], best[v] & 0xFFFFFFFF, best[v] >> 32)
 
     def run(batches):
         held = None
@@ -408,42 +408,48 @@ def _tiles(percent: int, nearest: bool):
     return run
 
 
-def _among(table: DataFrame, listed: DataFrame, name: str, *columns: str, then: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
-    """The rows whose ``columns``, or id, are listed, after ``then``, stashed; a short list goes to the rows, or both are shuffled."""
-    on = list(columns) or ["id"]
-    listed = stash(listed.select(*on).distinct(), "listed")
-    found = stash(then(table.join(_counted(listed), on, "left_semi")), name)
-    drop(listed)
-    return found
+def _asked(listed: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids``, which come of a stashed table with counted rows (two ids a row at most), for a semi join: few go to the rows, many are shuffled."""
+    few = _few(listed, ids)
+    return ids.distinct() if few is ids else few
 
 
-def _counted(listed: DataFrame) -> DataFrame:
-    return F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
+def _few(counted: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows``, of which there are at most two to a row of the stashed ``counted``, marked for broadcast if that bounds them well enough."""
+    return F.broadcast(rows) if 2 * counted.seen["rows"] <= BROADCAST_IDS else rows
 
 
-def _decide(pairs: DataFrame, named: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) -> those that link."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return _asked(pairs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+
+
+def _bounded(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(a, b) -> those with equal set names, and those whose sizes and bitmaps allow a link."""
     bit_cols = [f"b{j}" for j in range(WORDS)]
-    ends = lambda asked: asked.select(F.explode(F.array("a", "b")).alias("id"))
-    small = _among(named.select("id", "n", "s1", "s2", *bit_cols), ends(pairs), "small")
+    small = stash(named.select("id", "n", "s1", "s2", *bit_cols).join(_ends(pairs), "id", "left_semi"), "small")
     a, b = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
     total, less = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
     ham = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bit_cols[1:]), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
     same = F.expr("n_a = n_b and s1_a = s1_b and s2_a = s2_b")
     bound = (less * 100 >= (total - less) * percent) & (F.floor((total - ham) / 2) * (100 + percent) >= total * percent)
-    judged = stash(both.select("a", "b", same.alias("same"), bound.alias("may")).where("same or may"), "judged")
+    judged = stash(both.select("a", "b", same.alias("same"), bound.alias("may")).where("same or may"), "judged", rows=ROWS)
     drop(small)
-    unsure = judged.where("not same").select("a", "b")
-    sets = _among(texts, ends(unsure), "sets", then=lambda found: found.mapInArrow(lean(_sets(k)), "id long, n long, wide binary, set binary"))
+    return judged
+
+
+def _decide(pairs: DataFrame, unsure: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``unsure``, rows of the stashed ``pairs``, that link: by bitmaps that grow with the set, then exactly. Columns beside a and b are kept."""
+    shape = ", ".join(f"{c} long" for c in unsure.columns)
+    ids = _asked(pairs, unsure.select(F.explode(F.array("a", "b")).alias("id")))
+    sets = stash(texts.join(ids, "id", "left_semi").mapInArrow(lean(_sets(k)), "id long, n long, wide binary, set binary"), "sets")
     wide_a, wide_b = (sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
-    close = unsure.join(wide_a, "a").join(wide_b, "b").select("a", "b", "wide_a", "wide_b", (F.col("n_a") + F.col("n_b")).alias("total"))
-    close = stash(close.mapInArrow(lean(_may(percent)), "a long, b long"), "close")
-    full = _among(sets.select("id", "set"), ends(close), "full")
+    close = unsure.join(wide_a, "a").join(wide_b, "b").select(*unsure.columns, "wide_a", "wide_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+    close = stash(close.mapInArrow(lean(_may(percent)), shape), "close", rows=ROWS)
+    full = sets.select("id", "set").join(_ends(close), "id", "left_semi")
     met = close.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    exact = met.select("a", "b", "x", "y").mapInArrow(lean(_exact(percent)), "a long, b long")
-    linked = stash(judged.where("same").select("a", "b").union(exact), "linked")
-    drop(judged, sets, close, full)
+    linked = stash(met.select(*unsure.columns, "x", "y").mapInArrow(lean(_exact(percent)), shape), "linked", rows=ROWS)
+    drop(sets, close)
     return linked
 
 
@@ -490,53 +496,74 @@ def _grouped(texts: DataFrame, features: Callable[[DataFrame], DataFrame], k: in
     equal = heads.join(lone.where("holders > 1"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # two leads an id bring most of a group together; what they miss shows up as a torn tile
     leads = met.where("count > 0").groupBy("id", "lead").agg(F.sum("count").alias("count")).groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
-    star = stash(leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "star")
-    linked = _decide(star, named, texts, k, percent)
-    links = linked.union(copies).union(equal)
+    star = stash(leads.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "star", rows=ROWS)
+    judged = _bounded(star, named, percent)
+    linked = _decide(judged, judged.where("not same").select("a", "b"), texts, k, percent)
+    links = linked.union(judged.where("same").select("a", "b")).union(copies).union(equal)
     groups = components(links if known_links is None else links.union(known_links))
-    drop(star, linked, met)
+    drop(star, judged, linked, met)
 
     # equal sets are compared once, so the first of each stands for all in tiles
     own = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     first = named.select("id", "keys").join(lone.select(F.col("rep").alias("id")), "id", "left_semi")
-    sent = first.join(own, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "keys").mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, comps binary")
-    torn = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "bucket int, short long"), "torn")
+    first = first.join(own, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "keys")
+    sent = first.select("comp", "keys").mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, comps binary")
+    torn = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "bucket int, short long"), "torn", rows=ROWS)
     bucket, short = (F.shiftrightunsigned("key", 11) % buckets).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 8 * KEY) - 1))
-    held_by = first.select("id", F.explode("keys").alias("key")).withColumns({"bucket": bucket, "short": short})
-    member = _among(held_by, torn, "members", "bucket", "short", then=lambda found: found.select("id", "key").distinct())
+    held_by = first.select("id", "comp", F.explode("keys").alias("key")).withColumns({"bucket": bucket, "short": short})
+    member = stash(held_by.join(_asked(torn, torn), ["bucket", "short"], "left_semi").select("id", "key", "comp").distinct(), "members", rows=ROWS)
+    small = stash(named.select("id", "n", *bit_cols).join(_asked(member, member.select("id")), "id", "left_semi"), "small")
     drop(lone, torn)
-    small = _among(named.select("id", "n", *bit_cols), member, "small")
-    nearest = True
-    while True:
-        own = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        at = member.join(own, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        tile = at.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    merged, nearest = None, True  # merged: what became of the components since
+    while member.seen["rows"]:
+        tile = member.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         tile = tile.groupBy("who", "size").agg(F.min("key").alias("key"))  # tiles with the same holders are compared once
-        side = at.join(tile.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+        sides = _few(member, tile.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")))
+        side = member.join(sides, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
         dealt = side.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).join(small, "id")
         dealt = dealt.select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side", "id", "comp", "n", *bit_cols)
-        found = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(_tiles(percent, nearest)), "a long, b long, ham long")
+        found = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(_tiles(percent, nearest)), "a long, b long, ca long, cb long, ham long")
         if nearest:
-            found = found.groupBy("a").agg(F.min_by("b", F.struct("ham", "b")).alias("b"))
-        cross = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
-        if not cross.limit(1).count():
+            best = F.min_by(F.struct("b", "ca", "cb"), F.struct("ham", "b")).alias("best")
+            found = found.groupBy("a").agg(best).select("a", "best.*")
+        ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "ca", "cb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+        cross = stash(found.select(ordered.alias("p")).select("p.*").distinct(), "cross", rows=ROWS)
+        if not cross.seen["rows"]:
+            drop(cross)
             break  # no pair is left
-        more = _decide(cross, named, texts, k, percent)
-        linked = more.limit(1).count() > 0
+        more = _decide(cross, cross, texts, k, percent)  # tiles have looked at sizes and bitmaps, and their sets differ
+        linked = more.seen["rows"] > 0
         if linked:
-            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+            joined, before = more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), merged
+            if before is not None:
+                joined = joined.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            merged = components(joined)
+            if before is not None:
+                drop(before)
         if not nearest:
             drop(cross, more)
             break
         # components only grow together: a holder without a partner in this round has none in a later one
-        ids = stash(cross.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "partnered")
-        asked = _counted(ids)
-        kept = stash(member.join(asked, "id", "left_semi"), "members"), stash(small.join(asked, "id", "left_semi"), "small")
-        drop(member, small, ids, cross, more)
+        left = member.join(_ends(cross), "id", "left_semi")
+        kept = stash(_renamed(left, merged, "comp") if linked else left, "members", rows=ROWS), stash(small.join(_ends(cross), "id", "left_semi"), "small")
+        drop(member, small, cross, more)
         member, small = kept
         nearest = linked
     drop(member, small)
-    return feats, groups
+    if merged is None:
+        return feats, groups
+    # a component that had one row, and so no row in the groups, comes with its own
+    new = merged.join(groups.select("node"), "node", "left_anti").select("node", "component")
+    whole = stash(_renamed(groups, merged, "component").select("node", "component").union(new), "groups")
+    drop(groups, merged)
+    return feats, whole
+
+
+def _renamed(rows: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the components in ``column`` replaced by what they were merged into."""
+    to = merged.select(F.col("node").alias(column), F.col("component").alias("__to"))
+    to = F.broadcast(to) if merged.seen["rows"] <= BROADCAST_NODES else to
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("__to", column)).select(*rows.columns)
 
 
 def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:

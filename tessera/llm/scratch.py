@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 _tables: dict[str, str] = {}  # registered tables by their folder
@@ -27,9 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
-    """``by``: the table is bucketed by that column, so a later join on it does not shuffle this side."""
-    spark = df.sparkSession
+def stash(df: DataFrame, name: str = "t", by: str | None = None, **seen: str) -> DataFrame:
+    """``by``: the table is bucketed by that column, so a later join on it does not shuffle this side. ``seen``: aggregates, as SQL,
+    taken while the rows are written, so that asking for them later is no job; the result's ``seen`` has them by name."""
+    spark, watch = df.sparkSession, Observation()
+    if seen:
+        df = df.observe(watch, *(F.expr(e).alias(n) for n, e in seen.items()))
     path = f"{shared_dir(spark)}-{name}"
     if by:
         table = f"{name}_{uuid.uuid4().hex}"
@@ -41,7 +45,7 @@ def stash(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
         out = spark.read.schema(df.schema).parquet(path)
     # The written job's shuffle files go once the driver has collected its plan; nothing else makes it do so in time.
     spark.sparkContext._jvm.System.gc()
-    out.stashed = path
+    out.stashed, out.seen = path, watch.get if seen else {}
     return out
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.llm import components as C
 from tessera.llm import ngram_jaccard as J
 from tests.llm.test_operators import groups
 
@@ -28,6 +29,8 @@ def near_copies(seed, size, words, edits, loose):
 @pytest.mark.parametrize("tile", [16, 1024])
 def test_large_group(spark, monkeypatch, few, tile):
     monkeypatch.setattr(J, "BROADCAST_IDS", few)
+    for module in (J, C):
+        monkeypatch.setattr(module, "BROADCAST_NODES", few)
     monkeypatch.setattr(J, "TILE", tile)
     rows = near_copies(few + tile, 120, 60, 3, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
