@@ -11,8 +11,9 @@
    and links its own further holders to the first, so a key that a third of the rows hold stays small.
 4. Pairs: equal set names link at once; sizes and the bitmaps' Hamming distance bound the
    overlap from above; what is left is decided by intersecting the sorted arrays. Components of these links.
-5. Torn tiles. All keys go with their component, once a task; a tile whose holders are in one component has nothing
-   left to say. In the others, holders are compared across components, blockwise, by bitmap. As long as that gives
+5. Torn tiles. All keys go packed with their ids and components, once, to their buckets, where a tile whose holders are in
+   one component has nothing left to say; of a large component's holders a task sends one, and the others follow for the
+   keys that need them. In the other tiles, holders are compared across components, blockwise, by bitmap. As long as that gives
    links, each holder hands on only its nearest of another component, so that groups of near copies grow together and
    their pairs are never listed; holders without any such partner leave; then every pair that is left is decided, by a
    bitmap that grows with the set and then exactly.
@@ -42,6 +43,7 @@ EARLY = 6  # keys of a document in the star
 BROADCAST_IDS = 1_000_000  # up to so many counted ids (8 bytes each) are broadcast; more are shuffled
 BUCKET = 4 << 20  # bytes of keys that go to one bucket
 KEY = 6  # bytes of a key that are sent beside its bucket
+HOLDERS = 16  # ids of one component that a batch sends for one key; of more it sends the first and a mark
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -234,69 +236,85 @@ def _meet(batches):
         yield close(keys, docs)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Unsigned numbers in four bytes each where that is enough for all."""
+    return _raw(x.astype("<u4") if x.max() < 1 << 32 else x)
+
+
+def _widened(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.int64).astype(np.int64)
+
+
 def _send_tiles(buckets: int):
-    """Packs (key, component) by bucket, each once a batch. Of a key six bytes go: buckets hold a set number of keys, so
-    that hardly two meet there, and two that do only make a tile that is compared for nothing. Components go as the
-    difference to the least one, in four bytes where that is enough."""
+    """Packs (key, id, component, if there are more) by bucket. Of a key's holders in one component a batch sends HOLDERS at most; of more only the
+    first goes, marked. Of a key six bytes go: buckets hold a set number of keys, so that hardly two meet there, and two that
+    do only make a tile that is compared for nothing. Ids go as the difference to the least one and components as the
+    difference to the id, in four bytes where that is enough."""
 
     def run(batches):
         for batch in batches:
-            key, per = _lists(batch.column(1))
-            comp = np.repeat(batch.column(0).to_numpy(), per)
+            ids, comp = (batch.column(j).to_numpy() for j in (0, 1))
+            key, per = _lists(batch.column(2))
+            rank = np.lexsort((ids, comp))
+            first = np.cumsum(per) - per
+            key, row = key[X.ranges(first[rank], per[rank])], np.repeat(rank, per[rank])
             bucket = (key >> np.uint64(11)) % np.uint64(buckets)
-            o = np.lexsort((comp, key, bucket))
-            key, comp, bucket = key[o], comp[o], bucket[o]
-            fresh = np.append(True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1]))[: len(key)]
-            key, comp, bucket = key[fresh], comp[fresh], bucket[fresh]
+            o = np.lexsort((key, bucket))
+            key, row, bucket = key[o], row[o], bucket[o]
+            doc, comp = ids[row], comp[row]
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1]))[: len(key)])
+            size = np.diff(np.append(begin, len(key)))
+            more = np.repeat(size > HOLDERS, size)
+            sent = ~more
+            sent[begin] = True
+            key, doc, comp, more, bucket = key[sent], doc[sent], comp[sent], more[sent], bucket[sent]
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             out = []
             for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                k, c = key[cut[i] : cut[i + 1]].astype("<u8"), comp[cut[i] : cut[i + 1]]
-                least = c.min()
-                if int(c.max()) - int(least) < 1 << 32:
-                    c = (c - least).astype("<u4")
-                out.append((i, _raw(k.view(np.uint8).reshape(-1, 8)[:, :KEY]), least.tobytes() + _raw(c)))
+                at = slice(cut[i], cut[i + 1])
+                least = doc[at].min()
+                gaps = _narrow((doc[at] - comp[at]).view(np.uint64))
+                out.append((i, _raw(key[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]), least.tobytes() + _narrow((doc[at] - least).view(np.uint64)), gaps, _raw(more[at])))
             if out:
-                yield _packed(out, ["bucket", "keys", "comps"])
+                yield _packed(out, ["bucket", "keys", "ids", "gaps", "more"])
 
     return run
 
 
-def _unpacked(keys: bytes, comps: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(keys: bytes, ids: bytes, gaps: bytes, more: bytes) -> tuple[np.ndarray, ...]:
     n = len(keys) // KEY
     key = np.zeros((n, 8), np.uint8)
     key[:, :KEY] = np.frombuffer(keys, np.uint8).reshape(n, KEY)
-    if len(comps) == 8 * (n + 1):
-        comp = np.frombuffer(comps, np.int64, n, 8)
-    else:
-        comp = np.frombuffer(comps, np.int64, 1) + np.frombuffer(comps, np.uint32, n, 8)
-    return key.view("<u8")[:, 0], comp
+    doc = np.frombuffer(ids, np.int64, 1) + _widened(ids[8:], n)
+    return key.view("<u8")[:, 0], doc, doc - _widened(gaps, n), np.frombuffer(more, bool)
 
 
 def _torn(batches):
-    """Per bucket: the short keys whose holders are in several components."""
-
-    def close(bucket, keys, comps):
-        key, comp = np.concatenate(keys), np.concatenate(comps)
-        o = np.lexsort((comp, key))
-        key, comp = key[o], comp[o]
-        apart = (key[1:] == key[:-1]) & (comp[1:] != comp[:-1])
-        key = np.unique(key[1:][apart]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket, np.int32)), pa.array(key)], ["bucket", "short"])
-
-    now, keys, comps = None, [], []
+    """Per bucket: the sent holders of the keys whose holders are in several components. A key is the short one and its bucket from here on."""
+
+    def close(bucket, cells):
+        key, doc, comp, more = (np.concatenate(c) for c in zip(*cells, strict=True))
+        o = np.lexsort((doc, comp, key))
+        key, doc, comp, more = key[o], doc[o], comp[o], more[o]
+        new = np.append(True, key[1:] != key[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(key)))
+        torn = np.repeat(comp[begin] != comp[begin + size - 1], size)
+        torn &= new | np.append(True, doc[1:] != doc[:-1])
+        key = (key[torn] << np.uint64(16)) | np.uint64(bucket & 0xFFFF)
+        return pa.RecordBatch.from_arrays([pa.array(doc[torn]), pa.array(key.view(np.int64)), pa.array(comp[torn]), pa.array(more[torn])], ["id", "key", "comp", "more"])
+
+    now, held = None, []
     for batch in batches:
         for at in range(batch.num_rows):
-            b, k, c = (x[at].as_py() for x in batch.columns)
+            b, *cells = (x[at].as_py() for x in batch.columns)
             if b != now:
-                if keys:
-                    yield close(now, keys, comps)
-                now, keys, comps = b, [], []
-            k, c = _unpacked(k, c)
-            keys.append(k)
-            comps.append(c)
-    if keys:
-        yield close(now, keys, comps)
+                if held:
+                    yield close(now, held)
+                now, held = b, []
+            held.append(_unpacked(*cells))
+    if held:
+        yield close(now, held)
 
 
 def _wide_bitmap(s: np.ndarray) -> bytes:
@@ -414,9 +432,9 @@ def _asked(listed: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.distinct() if few is ids else few
 
 
-def _few(counted: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows``, of which there are at most two to a row of the stashed ``counted``, marked for broadcast if that bounds them well enough."""
-    return F.broadcast(rows) if 2 * counted.seen["rows"] <= BROADCAST_IDS else rows
+def _few(counted: DataFrame, rows: DataFrame, seen: str = "rows") -> DataFrame:
+    """``rows``, of which there are at most two to a row of the stashed ``counted`` (to one that ``seen`` counts), marked for broadcast if that bounds them well enough."""
+    return F.broadcast(rows) if 2 * counted.seen[seen] <= BROADCAST_IDS else rows
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -507,13 +525,20 @@ def _grouped(texts: DataFrame, features: Callable[[DataFrame], DataFrame], k: in
     own = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     first = named.select("id", "keys").join(lone.select(F.col("rep").alias("id")), "id", "left_semi")
     first = first.join(own, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "keys")
-    sent = first.select("comp", "keys").mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, comps binary")
-    torn = stash(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "bucket int, short long"), "torn", rows=ROWS)
-    bucket, short = (F.shiftrightunsigned("key", 11) % buckets).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 8 * KEY) - 1))
-    held_by = first.select("id", "comp", F.explode("keys").alias("key")).withColumns({"bucket": bucket, "short": short})
-    member = stash(held_by.join(_asked(torn, torn), ["bucket", "short"], "left_semi").select("id", "key", "comp").distinct(), "members", rows=ROWS)
+    sent = first.mapInArrow(lean(_send_tiles(buckets)), "bucket int, keys binary, ids binary, gaps binary, more binary")
+    torn = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_torn), "id long, key long, comp long, more boolean")
+    member = stash(torn, "members", rows=ROWS, more="count_if(more)")
+    if member.seen["more"]:  # large components' further holders of torn keys; only these components' rows are looked at again
+        asked = member.where("more").select("key", "comp").distinct()
+        again = first.join(_few(member, asked.select("comp").distinct(), "more"), "comp", "left_semi").select("id", "comp", F.explode("keys").alias("key"))
+        short, bucket = F.col("key").bitwiseAND(F.lit((1 << 8 * KEY) - 1)), F.shiftrightunsigned("key", 11) % buckets
+        again = again.withColumn("key", F.shiftleft(short, 16).bitwiseOR(bucket.bitwiseAND(F.lit(0xFFFF)))).join(_few(member, asked, "more"), ["key", "comp"]).distinct()
+        rest = member.join(_few(member, asked, "more"), ["key", "comp"], "left_anti")
+        whole = stash(rest.select("id", "key", "comp").union(again.select("id", "key", "comp")), "members", rows=ROWS)
+        drop(member)
+        member = whole
+    drop(lone)
     small = stash(named.select("id", "n", *bit_cols).join(_asked(member, member.select("id")), "id", "left_semi"), "small")
-    drop(lone, torn)
     merged, nearest = None, True  # merged: what became of the components since
     while member.seen["rows"]:
         tile = member.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
@@ -575,6 +600,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the document with the smallest id stays."""
-    _, groups = jaccard_links(docs, id_col, text_col, k, percent)
+    sizes, groups = jaccard_links(docs, id_col, text_col, k, percent)
     gone = stash(groups.where("node <> component").select(F.col("node").alias("__gone")), "gone")
+    drop(sizes, groups)
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
