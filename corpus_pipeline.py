@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import ngram_jaccard, packing, quality_model, secrets, suffix_dedup
-from tessera.llm.scratch import drop, stash
+from tessera.llm.scratch import drop_unheld, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. A stage's table goes when the next one is written."""
-    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """The last stage's rows. A stage's table goes once the next one is written and nobody holds its data frame any more."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if written is not None:
-            drop(written)
-        written = docs
+        if last is not None:
+            drop_unheld(last)
+        last = docs
     return docs

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -52,12 +53,20 @@ def stash(df: DataFrame, name: str = "t", by: str | None = None, **seen: str) ->
 def drop(*stashed: DataFrame) -> None:
     """Deletes the folders (and the table names) of data frames that ``stash`` gave back."""
     for df in stashed:
-        spark, path = df.sparkSession, df.stashed
-        table = _tables.pop(path.rsplit("/", 1)[-1], None)
-        if table:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, df.stashed)
+
+
+def drop_unheld(stashed: DataFrame) -> None:
+    """``drop`` once nothing holds this data frame itself any more; what was derived from it is no longer to be read then."""
+    weakref.finalize(stashed, _delete, stashed.sparkSession, stashed.stashed).atexit = False
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    table = _tables.pop(path.rsplit("/", 1)[-1], None)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:

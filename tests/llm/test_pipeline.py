@@ -1,5 +1,7 @@
 """Every stage of the pipeline against brute force on its own input."""
 
+import gc
+import os
 import re
 
 import numpy as np
@@ -9,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import quality_model, secrets
+from tessera.llm.scratch import drop_unheld, stash
 from tests.conftest import SF
 from tests.llm.test_operators import BPE, groups, left, marked
 
@@ -87,3 +90,14 @@ def test_stages(spark, monkeypatch, sf_dir):
         ends = np.cumsum([0, *(length for _, length in sorted(spans))])
         assert [o for o, _ in sorted(spans)] == ends[:-1].tolist() and ends[-1] <= 2048
     assert len(places) <= 1.05 * -(-total // 2048) + 1
+
+
+def test_stage_tables_stay_while_held(spark):
+    """A table goes with its data frame, and not before."""
+    rows = stash(spark.range(5), "held")
+    folder = rows.stashed.removeprefix("file:").replace("//", "/")
+    drop_unheld(rows)
+    assert os.path.isdir(folder) and rows.count() == 5
+    del rows
+    gc.collect()
+    assert not os.path.exists(folder)
